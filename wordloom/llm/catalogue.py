@@ -1,11 +1,12 @@
 """The registered queries of this subpackage, one per operator, and SQL where it can express them."""
 
-from wordloom.llm import chat, tiff, token_lengths
+from wordloom.llm import chat, spm, tiff, token_lengths
 
 QUERIES = {
     "op1_tiff": tiff.op1_tiff,
     "op3_chat_masks": chat.op3_chat_masks,
     "op4_length_histogram": token_lengths.op4_length_histogram,
+    "op6_sentencepiece": spm.op6_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {}
