@@ -1,11 +1,13 @@
 """The registered queries of this subpackage, one per operator, and SQL where it can express them."""
 
-from wordloom.llm import chat, spm, tiff, token_lengths
+from wordloom.llm import chat, quality, spm, tiff, token_lengths, toxicity
 
 QUERIES = {
     "op1_tiff": tiff.op1_tiff,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_chat_masks": chat.op3_chat_masks,
     "op4_length_histogram": token_lengths.op4_length_histogram,
+    "op5_quality": quality.op5_quality,
     "op6_sentencepiece": spm.op6_sentencepiece,
 }
 

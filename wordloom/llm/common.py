@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,3 +48,60 @@ def cut(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordB
     step = max(1, int(n * most_bytes / max(batch.nbytes, 1)))
     for at in range(0, n, step):
         yield batch.slice(at, step)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = 3000) -> list[tuple[int, int, str]]:
+    """(bucket, label, text) of a bounded sample of labelled rows to learn from: per label at most `per_class`
+    documents, first by a hash of the id, none of bucket 0. Null labels, ids and texts don't count; of several
+    labels for an id the largest does. What reaches the driver is bounded by 2 * per_class whole texts."""
+    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).where("__id is not null and __label in (0, 1)").where(bucket_of("__id") != 0)
+    picked = [known.where(F.col("__label") == v).groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for v in (0, 1)]
+    few = picked[0].unionByName(picked[1]).groupBy("__id").agg(F.max("__label").alias("__label"))
+    text = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text")).where("__text is not null")
+    rows = text.join(F.broadcast(few), "__id").select(bucket_of("__id").cast("int"), "__label", "__text").collect()  # at most 2 * per_class ids are broadcast
+    return sorted((int(b), int(y), t) for b, y, t in rows)
+
+
+class Words:
+    """Words seen by a worker, each with a row of a float32 matrix; emptied when it holds `most` words.
+    Row 0 is all zeros. `make` turns a list of words into their rows."""
+
+    def __init__(self, make: Callable[[list[str]], np.ndarray], columns: int, most: int = 400_000):
+        self.make, self.columns, self.most = make, columns, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.rows = np.zeros((1024, self.columns), np.float32)
+
+    def look_up(self, texts: list[list[str]]) -> list[np.ndarray]:
+        if len(self.slots) > self.most:
+            self.clear()
+        slots = self.slots
+        new = list(dict.fromkeys(w for words in texts for w in words if w not in slots))
+        if new:
+            first, last = len(slots) + 1, len(slots) + 1 + len(new)
+            if last > len(self.rows):
+                self.rows = np.concatenate((self.rows[:first], np.zeros((max(last, 2 * first) - first + 1, self.columns), np.float32)))
+            self.rows[first:last] = self.make(new)
+            slots.update(zip(new, range(first, last)))
+        get = slots.__getitem__
+        return [np.fromiter(map(get, words), np.int32, len(words)) for words in texts]
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
+
+
+class Adam:
+    def __init__(self, parts: dict[str, np.ndarray], rate: float):
+        self.parts, self.rate, self.n = parts, rate, 0
+        self.m = {k: np.zeros_like(v) for k, v in parts.items()}
+        self.v = {k: np.zeros_like(v) for k, v in parts.items()}
+
+    def step(self, grads: dict[str, np.ndarray]) -> None:
+        self.n += 1
+        for k, g in grads.items():
+            self.m[k] += 0.1 * (g - self.m[k])
+            self.v[k] += 0.001 * (g * g - self.v[k])
+            self.parts[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.n)) / (np.sqrt(self.v[k] / (1 - 0.999**self.n)) + 1e-8)).astype(self.parts[k].dtype)
