@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, one per operator, and SQL where it can express them."""
 
-from wordloom.llm import chat, quality, spm, tiff, token_lengths, toxicity
+from wordloom.llm import chat, mixing, quality, sharding, spm, tiff, token_lengths, toxicity
 
 QUERIES = {
     "op1_tiff": tiff.op1_tiff,
@@ -9,6 +9,8 @@ QUERIES = {
     "op4_length_histogram": token_lengths.op4_length_histogram,
     "op5_quality": quality.op5_quality,
     "op6_sentencepiece": spm.op6_sentencepiece,
+    "op7_consistent_ring": sharding.op7_consistent_ring,
+    "op8_source_mix": mixing.op8_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
