@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, one per operator, and SQL where it can express them."""
 
-from wordloom.llm import chat, mixing, quality, sharding, spm, tiff, token_lengths, toxicity
+from wordloom.llm import ann, chat, mixing, ngram_join, quality, sharding, spm, tiff, token_lengths, toxicity
 
 QUERIES = {
     "op1_tiff": tiff.op1_tiff,
@@ -11,6 +11,8 @@ QUERIES = {
     "op6_sentencepiece": spm.op6_sentencepiece,
     "op7_consistent_ring": sharding.op7_consistent_ring,
     "op8_source_mix": mixing.op8_source_mix,
+    "op9_signature_tree_join": ngram_join.op9_signature_tree_join,
+    "op10_balanced_lists": ann.op10_balanced_lists,
 }
 
 ORACLE_SQL: dict[str, str] = {}
