@@ -33,7 +33,7 @@ def materialise(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # its buffers lie in no direct memory
     return spark.read.schema(df.schema).parquet(path)
 
 
