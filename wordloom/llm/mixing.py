@@ -67,7 +67,8 @@ def slots_of(targets: DataFrame, shards: int = 64) -> DataFrame:
     before = W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
     every = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     t = t.withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0))).withColumn("all_slots", F.sum("slots").over(every))
-    runs = t.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / 1024)))).repartition("source", "run")
+    runs = t.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / 1024))))
+    runs = runs.repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "run")  # by number, for the rows are few until exploded
     j = F.explode(F.sequence(F.col("run") * 1024, F.least(F.col("run") * 1024 + 1023, F.col("slots") - 1)))
     s = runs.withColumn("slot", j)
     s = s.withColumn("pass", F.floor(F.col("slot") / F.col("blocks"))).withColumn("index", F.col("slot") % F.col("blocks"))
@@ -111,7 +112,7 @@ def takings(base: DataFrame) -> DataFrame:
     name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
     used = slots_of(targets).groupBy(name.alias("__name"), "block", "words").agg(F.count(F.lit(1)).alias("times"))
     pieces = pieces_of(base, base.count()).withColumn("__name", name)
-    met = pieces.join(used, ["__name", "block"], "left")
+    met = pieces.join(used.hint("merge"), ["__name", "block"], "left")  # its size follows the corpus, though it comes of a small table
     part = F.greatest(F.lit(0), F.least("hi", "words") - F.col("lo")) * F.col("times")
     taken = met.groupBy("__row", "doc_id", "source", "size").agg(F.coalesce(F.sum(part), F.lit(0)).cast("bigint").alias("taken"))
     of = targets.withColumnRenamed("source", "__of")
