@@ -15,10 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import map_rows, vocabulary_path
-from wordloom.session import table
+from wordloom.session import materialise, table
 
 #: Lengths per bucket of the two-level suffix sums.
-BUCKET = 1024
+BUCKET = 64
 
 
 def _encoder(path: str, pattern: str):
@@ -92,4 +92,4 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 
 
 def op4_length_histogram(spark, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(encoded_lengths(table(spark, sf_dir, "documents"))))
+    return suffix_sums(materialise(histogram(encoded_lengths(table(spark, sf_dir, "documents")))))  # read twice
