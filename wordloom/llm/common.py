@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from wordloom.session import materialise
+
 
 def vocabulary_path(name: str) -> str:
     """Path of a public tokenizer file; every operator takes another path as a parameter."""
@@ -42,6 +44,33 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict],
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def append_column(df: DataFrame, column: str, kind: str, name: str, work: Callable) -> DataFrame:
+    """All columns of df but one called `name`, and `name` made from `column` a batch at a time: work() is called in
+    each task and returns a function from an Arrow array to an Arrow array."""
+    kept = [c for c in df.columns if c != name]
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(name, T.StructType.fromDDL(f"x {kind}")[0].dataType)])
+    arrow = to_arrow_schema(schema)
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias("__in"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = work()
+        for batch in batches:
+            for piece in cut(batch):
+                made = state(piece.column(len(kept)))
+                yield pa.RecordBatch.from_arrays([*(piece.column(k).cast(f.type) for k, f in zip(range(len(kept)), arrow)), made], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def kept_by(docs: DataFrame, decided: DataFrame, how: str, most: int = 500_000) -> DataFrame:
+    """docs joined with `decided` (doc_id, ...) on the id. The decisions are broadcast if they are few, counted first;
+    else both sides are shuffled."""
+    decided = materialise(decided)
+    few = decided.count() <= most
+    side = decided.withColumnRenamed("doc_id", "__id")
+    return docs.join(F.broadcast(side) if few else side, F.col("doc_id") == F.col("__id"), how)
+
+
 def cut(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about `most_bytes` each, a row at least."""
     n = batch.num_rows

@@ -121,3 +121,13 @@ def takings(base: DataFrame) -> DataFrame:
 
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:
     return takings(sized(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def copies_of(base: DataFrame) -> DataFrame:
+    """doc_id, copies: how often each document appears in the mix, whole: the words taken over its size, the remainder
+    rounded up or down by a hash of the id. A repeated id takes the most of its rows' copies."""
+    x = takings(base)
+    size = F.greatest(F.col("size"), F.lit(1))
+    chance = F.pmod(F.xxhash64(F.lit("copy"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    copies = F.floor(F.col("taken") / size) + (chance < (F.col("taken") % size) / size).cast("bigint")
+    return x.groupBy("doc_id").agg(F.max(copies).alias("copies"))

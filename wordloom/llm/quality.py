@@ -20,10 +20,11 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import Adam, Words, bucket_of, labelled_sample, map_rows, sigmoid
+from wordloom.llm.common import Adam, Words, append_column, bucket_of, labelled_sample, map_rows, sigmoid
 from wordloom.session import table
 
 PASSAGE, SHAPES, DIM, HIDDEN, GATE = 48, 1 << 12, 8, 16, 8
@@ -183,6 +184,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Scorer:
 _open: dict = {}
 
 
+def with_scores(df: DataFrame, model: Scorer, text: str = "text", name: str = "score") -> DataFrame:
+    """All columns of df, and the score of every whole text."""
+    model.stamp = uuid.uuid4().hex
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def work():
+        if _open.get("of") != shared.value.stamp:
+            _open.update(of=shared.value.stamp, words=word_table())
+        return lambda x: pa.array(shared.value.attend(x.to_pylist(), _open["words"])[0], pa.float64())
+
+    return append_column(df, text, "double", name, work)
+
+
 def score_column(df: DataFrame, model: Scorer, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, score, passages, and the passage that weighs most with its weight, for every whole text."""
     model.stamp = uuid.uuid4().hex

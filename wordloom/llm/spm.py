@@ -25,10 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from wordloom.llm.common import cut, vocabulary_path
+from wordloom.llm.common import append_column, vocabulary_path
 from wordloom.session import table
 
 MARK = "▁"
@@ -211,23 +209,6 @@ def _codec(path: str, verify_every: int = 0) -> Codec:
     return _codecs[path, verify_every]
 
 
-def _append(df: DataFrame, column: str, kind: str, name: str, work) -> DataFrame:
-    """All columns of df but `name`, and `name` made from `column` a batch at a time."""
-    kept = [c for c in df.columns if c != name]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(name, T._parse_datatype_string(kind))])
-    arrow = to_arrow_schema(schema)
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias("__in"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = work()
-        for batch in batches:
-            for piece in cut(batch):
-                made = state(piece.column(len(kept)))
-                yield pa.RecordBatch.from_arrays([*(piece.column(k).cast(f.type) for k, f in zip(range(len(kept)), arrow)), made], schema=arrow)
-
-    return rows.mapInArrow(run, schema)
-
-
 def encode_texts(df: DataFrame, text: str = "text", model_path: str | None = None, verify_every: int = 997, ids: str = "piece_ids") -> DataFrame:
     path = model_path or vocabulary_path("piece_bpe_32k.model")
 
@@ -245,7 +226,7 @@ def encode_texts(df: DataFrame, text: str = "text", model_path: str | None = Non
 
         return state
 
-    return _append(df, text, "array<int>", ids, work)
+    return append_column(df, text, "array<int>", ids, work)
 
 
 def decode_ids(df: DataFrame, ids: str = "piece_ids", model_path: str | None = None, text: str = "decoded") -> DataFrame:
@@ -261,7 +242,7 @@ def decode_ids(df: DataFrame, ids: str = "piece_ids", model_path: str | None = N
 
         return state
 
-    return _append(df, ids, "string", text, work)
+    return append_column(df, ids, "string", text, work)
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
