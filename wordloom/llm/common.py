@@ -71,7 +71,7 @@ def kept_by(docs: DataFrame, decided: DataFrame, how: str, most: int = 500_000)
     return docs.join(F.broadcast(side) if few else side, F.col("doc_id") == F.col("__id"), how)
 
 
-def cut(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def cut(batch: pa.RecordBatch, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about `most_bytes` each, a row at least."""
     n = batch.num_rows
     step = max(1, int(n * most_bytes / max(batch.nbytes, 1)))

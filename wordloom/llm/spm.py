@@ -33,7 +33,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Chunks remembered per worker process before the memory is emptied.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
 
 
@@ -106,16 +106,9 @@ class Model:
                     found.append((-self.pieces[i][1], i, rank[t[:k]], rank[t[k:]], t[:k], t[k:]))
         return [(x[4], x[5]) for x in sorted(found)]
 
-    def tokenizer(self):
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+    def normalizer(self):
+        from tokenizers import Regex, normalizers
 
-        if self.type == UNIGRAM:
-            core = models.Unigram([(t, s) for t, s, _ in self.pieces], unk_id=self.unk_id, byte_fallback=self.byte_fallback)
-        elif self.type == BPE:
-            core = models.BPE({t: i for i, (t, _, _) in enumerate(self.pieces)}, self.merges(), unk_token=self.pieces[self.unk_id][0], fuse_unk=True, byte_fallback=self.byte_fallback)
-        else:
-            raise ValueError(f"model type {self.type}")
-        made = Tokenizer(core)
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.trim:
             steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
@@ -123,7 +116,19 @@ class Model:
             steps.append(normalizers.Prepend(MARK if self.escape else " "))
         if self.escape:
             steps.append(normalizers.Replace(" ", MARK))
-        made.normalizer = normalizers.Sequence(steps)
+        return normalizers.Sequence(steps)
+
+    def tokenizer(self, normalise: bool = True):
+        from tokenizers import Tokenizer, decoders, models, normalizers
+
+        if self.type == UNIGRAM:
+            core = models.Unigram([(t, s) for t, s, _ in self.pieces], unk_id=self.unk_id, byte_fallback=self.byte_fallback)
+        elif self.type == BPE:
+            core = models.BPE({t: i for i, (t, _, _) in enumerate(self.pieces)}, self.merges(), unk_token=self.pieces[self.unk_id][0], fuse_unk=True, byte_fallback=self.byte_fallback)
+        else:
+            raise ValueError(f"model type {self.type}")
+        made = Tokenizer(core)
+        made.normalizer = self.normalizer() if normalise else normalizers.Sequence([])
         made.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else [])])
         return made
 
@@ -138,14 +143,10 @@ class Codec:
         with open(path, "rb") as f:
             data = f.read()
         self.model = Model(data)
-        self.whole = self.model.tokenizer()
-        self.chunks, self.memory = None, {}
-        if self.model.cuttable():
-            from tokenizers import normalizers
-
-            self.normalizer = self.whole.normalizer
-            self.chunks = self.model.tokenizer()
-            self.chunks.normalizer = normalizers.Sequence([])
+        self.memory: dict[str, bytes] = {}
+        self.cuts = self.model.cuttable()
+        self.normalizer = self.model.normalizer()
+        self._core = None
         self.plain = not self.model.charsmap and not self.model.trim and self.model.dummy_prefix
         self.bytes_of = [b"" if kind in (CONTROL,) else bytes((int(t[3:5], 16),)) if kind == BYTE else " ⁇ ".encode() if kind == UNKNOWN else t.replace(MARK, " ").encode("utf-8") for t, _, kind in self.model.pieces]
         self.verify_every, self.seen, self.judge = verify_every, 0, None
@@ -154,20 +155,27 @@ class Codec:
 
             self.judge = sentencepiece.SentencePieceProcessor(model_proto=data)
 
+    @property
+    def core(self):
+        """The tokenizer, made when something is first encoded: of chunks that are normalised already, or of texts."""
+        if self._core is None:
+            self._core = self.model.tokenizer(normalise=not self.cuts)
+        return self._core
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        out = self._cut(texts) if self.chunks else self._whole(texts)
+        out = self._cut(texts) if self.cuts else self._whole(texts)
         if self.judge:
             self._verify(texts, out)
         return out
 
     def _whole(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        got = iter(self.whole.encode_batch([t for t in texts if t is not None], add_special_tokens=False))
+        got = iter(self.core.encode_batch([t for t in texts if t is not None], add_special_tokens=False))
         return [None if t is None else np.array(next(got).ids, np.int32) for t in texts]
 
     def _cut(self, texts: list[str | None]) -> list[np.ndarray | None]:
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        memory, parts = self.memory, []
+        memory, parts = self.memory, []  # of a batch, which is cut by bytes
         new: dict[str, None] = {}
         for t in texts:
             if not t:
@@ -179,7 +187,7 @@ class Codec:
             new.update((w, None) for w in words if w not in memory)
         if new:
             words = list(new)
-            for w, e in zip(words, self.chunks.encode_batch(words, add_special_tokens=False)):
+            for w, e in zip(words, self.core.encode_batch(words, add_special_tokens=False)):
                 memory[w] = array("i", e.ids).tobytes()
         return [None if p is None else np.frombuffer(b"".join(map(memory.__getitem__, p)), np.int32) for p in parts]
 
