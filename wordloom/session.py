@@ -25,9 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+#: Rows of a small table (ids and numbers) that one file should hold.
+FILE_ROWS = 100_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """A small table of about `rows` rows in as many partitions as that needs, not as many as a shuffle has."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
+def materialise(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: lineage is cut, the files
-    survive lost executors, and later readers prune columns. Files go when the driver ends."""
+    survive lost executors, and later readers prune columns. Files go when the driver ends.
+    rows: about how many there are, where a table of a few columns would else be many tiny files."""
+    if rows is not None:
+        df = gathered(df, rows)
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wordloom-{uuid.uuid4().hex}"
     if not _written:
