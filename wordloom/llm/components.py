@@ -48,18 +48,20 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[own]], nodes[own]
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links: a, b (bigint). node, component (its smallest node) of every node that isn't the smallest of its own."""
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """links: a, b (bigint). node, component (its smallest node) of every node that isn't the smallest of its own.
+    rows: about how many links remain when those of a batch are merged."""
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
-    e = materialise(local_forest(links.select(lo.alias("a"), hi.alias("b")).where("a < b")).distinct())
+    e = materialise(local_forest(links.select(lo.alias("a"), hi.alias("b")).where("a < b")).distinct(), rows)
+    rows = e.count()
     while True:
         parent = e.groupBy("b").agg(F.min("a").alias("p"))
-        with_parent = materialise(e.join(parent.withColumnRenamed("b", "node"), F.col("b") == F.col("node")).select("a", "b", "p"))
+        with_parent = materialise(e.join(parent.withColumnRenamed("b", "node"), F.col("b") == F.col("node")).select("a", "b", "p"), rows)
         own = with_parent.where("a = p").select("b", "p")
         above = own.select(F.col("b").alias("up"), F.col("p").alias("pp"))
         jumped = own.join(above, F.col("p") == F.col("up"), "left").select(F.coalesce("pp", "p").alias("a"), "b", F.col("pp").isNotNull().alias("moved"))
         hooks = with_parent.where("a != p").select(F.col("p").alias("a"), F.col("a").alias("b"), F.lit(True).alias("moved"))
-        e2 = materialise(jumped.unionByName(hooks).groupBy("a", "b").agg(F.max("moved").alias("moved")))
+        e2 = materialise(jumped.unionByName(hooks).groupBy("a", "b").agg(F.max("moved").alias("moved")), rows)
         if not e2.where("moved").limit(1).count():
             return e2.select(F.col("b").alias("node"), F.col("a").alias("component"))
         e = e2.select("a", "b")

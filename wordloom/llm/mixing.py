@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wordloom.session import materialise, table
+from wordloom.session import gathered, materialise, table
 
 BLOCK = 256
 MOST = 3
@@ -108,15 +108,16 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def takings(base: DataFrame) -> DataFrame:
     """Of every row of `sized` documents: __row, doc_id, source, size, source_size, target, taken."""
-    targets = materialise(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))))  # a row per source
+    targets = materialise(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))), 1)  # a row per source
     name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
     used = slots_of(targets).groupBy(name.alias("__name"), "block", "words").agg(F.count(F.lit(1)).alias("times"))
-    pieces = pieces_of(base, base.count()).withColumn("__name", name)
+    rows = base.count()
+    pieces = pieces_of(base, rows).withColumn("__name", name)
     met = pieces.join(used.hint("merge"), ["__name", "block"], "left")  # its size follows the corpus, though it comes of a small table
     part = F.greatest(F.lit(0), F.least("hi", "words") - F.col("lo")) * F.col("times")
     taken = met.groupBy("__row", "doc_id", "source", "size").agg(F.coalesce(F.sum(part), F.lit(0)).cast("bigint").alias("taken"))
     of = targets.withColumnRenamed("source", "__of")
-    return taken.join(of, F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
+    return gathered(taken.join(of, F.col("source").eqNullSafe(F.col("__of"))).drop("__of"), rows)
 
 
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.common import map_rows
 from wordloom.llm.components import components
-from wordloom.session import materialise, table
+from wordloom.session import gathered, materialise, table
 
 LEAVES, NGRAMS = 4096, 4_000_000
 FANOUT = 8
@@ -307,33 +307,34 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) for every row of docs (doc_id, text)."""
     seen = described(docs, n, percent)
-    reps = materialise(seen.where("key1 is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
-    regions = _regions(seen)
-    # sets that lie in a region; those of size-checked regions are joined there and then, larger ones in cells
-    members = materialise(reps.join(regions, "key1").select("region", "key1", F.col("rep").alias("doc_id"), "n"))
+    rows = seen.count()
+    reps = materialise(seen.where("key1 is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), rows)
+    regions = _regions(seen, rows)
+    # sets that lie in a region; small regions are joined in one cell, larger ones are dealt to several
+    members = materialise(reps.join(regions, "key1").select("region", "key1", F.col("rep").alias("doc_id"), "n"), rows)
     weights = members.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
     parts = F.greatest(F.ceil(F.col("sets") / LEAVES), F.ceil(F.col("grams") / NGRAMS))
     weights = weights.where("sets > 1").withColumn("parts", parts)
-    dealt = materialise(members.join(weights.select("region", "parts"), "region"))
+    dealt = materialise(members.join(weights.select("region", "parts"), "region"), members.count())
     whole = dealt.where("parts = 1").select(F.col("region").alias("cell"), "doc_id", "key1", F.lit(True).alias("ask"))
-    links = materialise(_cells(materialise(whole), docs, n, percent).select("a", "b"))
+    links = materialise(_cells(whole, docs, n, percent).select("a", "b"))
     large = dealt.where("parts > 1")
     if large.limit(1).count():
         links = materialise(links.unionByName(_large(large, docs, n, percent)))
-    found = components(links)
+    found = components(links, links.count())
     names = reps.join(found, F.col("key1") == F.col("node"), "left").select("key1", "key2", "rep", F.coalesce("component", "key1").alias("c"))
     least = names.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = materialise(names.join(least, "c").select(F.col("key1").alias("k1"), F.col("key2").alias("k2"), "component_id"))
+    named = materialise(names.join(least, "c").select(F.col("key1").alias("k1"), F.col("key2").alias("k2"), "component_id"), rows)
     out = seen.join(named, (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return gathered(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), rows)
 
 
-def _regions(seen: DataFrame) -> DataFrame:
+def _regions(seen: DataFrame, rows: int) -> DataFrame:
     """key1, region of sets that share a signature with another set, directly or through others."""
-    rows = seen.where("signatures is not null").select("key1", F.explode("signatures").alias("s"))
+    marks = seen.where("signatures is not null").select("key1", F.explode("signatures").alias("s"))
     before = F.lag("key1").over(W.partitionBy("s").orderBy("key1"))
-    links = rows.select(before.alias("a"), F.col("key1").alias("b")).where("a is not null and a != b")
-    found = components(links)
+    links = marks.select(before.alias("a"), F.col("key1").alias("b")).where("a is not null and a != b")
+    found = components(links, rows)
     return found.select(F.col("node").alias("key1"), F.col("component").alias("region")).unionByName(found.select("component", F.col("component").alias("region")).distinct().toDF("key1", "region"))
 
 

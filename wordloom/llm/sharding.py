@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wordloom.session import materialise, table
+from wordloom.session import gathered, materialise, table
 
 SLICE_BITS = 12
 SLICES = 1 << SLICE_BITS
@@ -95,7 +95,7 @@ def assign(df: DataFrame, key: str, shards: int = 16, vnodes: int = 64) -> DataF
     held = (F.col("__slice") == F.col("slice")) & (F.col("__part") == F.col("part")) & (F.col("__rank") >= F.col("first")) & (F.col("__rank") < F.col("past"))
     placed = ranked.join(chunks, held)
     kept = [c for c in df.columns if c != "__row"]
-    return placed.select(*kept, F.col("shard"), (F.col("slot0") + F.col("__rank") - F.col("first")).alias("slot"))
+    return gathered(placed, sum(counts.values())).select(*kept, F.col("shard"), (F.col("slot0") + F.col("__rank") - F.col("first")).alias("slot"))
 
 
 def numbered(df: DataFrame) -> DataFrame:
