@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -68,7 +71,7 @@ def kept_by(docs: DataFrame, decided: DataFrame, how: str, most: int = 500_000)
     decided = materialise(decided)
     few = decided.count() <= most
     side = decided.withColumnRenamed("doc_id", "__id")
-    return docs.join(F.broadcast(side) if few else side, F.col("doc_id") == F.col("__id"), how)
+    return docs.join(F.broadcast(side) if few else side, F.col("doc_id").eqNullSafe(F.col("__id")), how)
 
 
 def cut(batch: pa.RecordBatch, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -91,11 +94,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return sorted((int(b), int(y), t) for b, y, t in rows)
 
 
+_kept: dict = {}
+
+
+def worker_state(key: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task. Workers serve one operator after another, so only the last key's
+    state is kept, and what the one before held goes back to the system."""
+    if key not in _kept:
+        _kept.clear()
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Words:
     """Words seen by a worker, each with a row of a float32 matrix; emptied when it holds `most` words.
     Row 0 is all zeros. `make` turns a list of words into their rows."""
 
-    def __init__(self, make: Callable[[list[str]], np.ndarray], columns: int, most: int = 400_000):
+    def __init__(self, make: Callable[[list[str]], np.ndarray], columns: int, most: int = 150_000):
         self.make, self.columns, self.most = make, columns, most
         self.clear()
 

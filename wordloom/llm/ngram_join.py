@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import map_rows
+from wordloom.llm.common import map_rows, worker_state
 from wordloom.llm.components import components
 from wordloom.session import gathered, materialise, table
 
@@ -57,7 +57,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_words: dict[bytes, int] = {}
+
+#: Words whose hashes a worker remembers before it forgets them all.
+REMEMBERED = 200_000
 
 
 def ngrams(text: str | None, n: int) -> np.ndarray:
@@ -65,14 +67,15 @@ def ngrams(text: str | None, n: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > 500_000:
-        _words.clear()
-    get = _words.get
+    known = worker_state("word hashes", dict)
+    if len(known) > REMEMBERED:
+        known.clear()
+    get = known.get
     hashes = [get(w) for w in words]
     if None in hashes:
         for k, h in enumerate(hashes):
             if h is None:
-                hashes[k] = _words[words[k]] = xxhash.xxh3_64_intdigest(words[k])
+                hashes[k] = known[words[k]] = xxhash.xxh3_64_intdigest(words[k])
     h = np.array(hashes, np.uint64)
     if len(h) < n:
         return mix(np.array([xxhash.xxh3_64_intdigest(h.tobytes())], np.uint64) + np.uint64(len(h)))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import Adam, Words, append_column, bucket_of, labelled_sample, map_rows, sigmoid
+from wordloom.llm.common import Adam, Words, append_column, bucket_of, labelled_sample, map_rows, sigmoid, worker_state
 from wordloom.session import table
 
 PASSAGE, SHAPES, DIM, HIDDEN, GATE = 48, 1 << 12, 8, 16, 8
@@ -181,18 +181,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Scorer:
     return Scorer().fit(labelled_sample(docs, labels, "quality", per_class))
 
 
-_open: dict = {}
-
-
 def with_scores(df: DataFrame, model: Scorer, text: str = "text", name: str = "score") -> DataFrame:
     """All columns of df, and the score of every whole text."""
     model.stamp = uuid.uuid4().hex
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def work():
-        if _open.get("of") != shared.value.stamp:
-            _open.update(of=shared.value.stamp, words=word_table())
-        return lambda x: pa.array(shared.value.attend(x.to_pylist(), _open["words"])[0], pa.float64())
+        words = worker_state(("quality", shared.value.stamp), word_table)
+        return lambda x: pa.array(shared.value.attend(x.to_pylist(), words)[0], pa.float64())
 
     return append_column(df, text, "double", name, work)
 
@@ -204,9 +200,7 @@ def score_column(df: DataFrame, model: Scorer, text: str = "text", key: str = "d
     kind = df.schema[key].dataType.simpleString()
 
     def run(x: dict) -> dict:
-        if _open.get("of") != shared.value.stamp:
-            _open.update(of=shared.value.stamp, words=word_table())
-        scores, weights, counts = shared.value.attend(x["t"], _open["words"])
+        scores, weights, counts = shared.value.attend(x["t"], worker_state(("quality", shared.value.stamp), word_table))
         starts = np.cumsum(counts) - counts
         tops = [int(weights[s : s + n].argmax()) for s, n in zip(starts, counts)]
         return {"k": x["k"], "score": scores, "passages": counts, "top_passage": tops, "top_weight": weights[starts + np.array(tops, np.int64)].astype(np.float64)}

@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import append_column, vocabulary_path
+from wordloom.llm.common import append_column, vocabulary_path, worker_state
 from wordloom.session import table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Chunks remembered per worker process before the memory is emptied.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
 
 
@@ -207,14 +207,9 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
-_codecs: dict[tuple[str, int], Codec] = {}
-
-
 def _codec(path: str, verify_every: int = 0) -> Codec:
     """One per worker process, so what it remembers serves later tasks too."""
-    if (path, verify_every) not in _codecs:
-        _codecs[path, verify_every] = Codec(path, verify_every)
-    return _codecs[path, verify_every]
+    return worker_state(("pieces", path, verify_every), lambda: Codec(path, verify_every))
 
 
 def encode_texts(df: DataFrame, text: str = "text", model_path: str | None = None, verify_every: int = 997, ids: str = "piece_ids") -> DataFrame:
