@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, one per operator, and SQL where it can express them."""
 
-from wordloom.llm import ann, chat, mixing, ngram_join, quality, sharding, spm, tiff, token_lengths, toxicity
+from wordloom.llm import ann, chat, mixing, ngram_join, oracles, quality, sharding, spm, tiff, token_lengths, toxicity
 
 QUERIES = {
     "op1_tiff": tiff.op1_tiff,
@@ -15,4 +15,4 @@ QUERIES = {
     "op10_balanced_lists": ann.op10_balanced_lists,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
