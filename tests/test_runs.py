@@ -115,3 +115,31 @@ def test_incremental(spark, tmp_path):
     assert {(r["image_id"], r["f"]) for r in got} == {(1, 3), (2, 1)}
     drain(spark, src, "image_id long, word_id int", lambda d: d.where("word_id = 5"), str(tmp_path / "s2"), str(tmp_path / "c2"))
     assert spark.read.parquet(str(tmp_path / "s2")).count() == 3
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from wordloom.plans import cli
+
+    assert cli.main(["--list-approaches"]) == 0
+    assert "vit_bovw" in capsys.readouterr().out
+    assert cli.main(["--dataset-dir", str(tmp_path / "nothing")]) == 1
+    assert "FATAL" in capsys.readouterr().err
+    r = np.random.default_rng(0)
+    for c in ("x", "y"):
+        (tmp_path / "set" / c).mkdir(parents=True)
+        for i in range(6):
+            noisy_bmp(tmp_path / "set" / c / f"{i}.bmp", r, c == "x")
+    args = ["--dataset-dir", str(tmp_path / "set"), "--output-dir", str(tmp_path / "out"), "--set", "vocabulary.k=4", "--set", "data.image_size=32", "--set", 'classifiers.enabled=["knn"]', "--set", 'runtime.metrics=["accuracy"]']
+    assert cli.main(args) == 0
+    assert "bovw_baseline" in capsys.readouterr().out
+    assert list((tmp_path / "out").glob("comparison_*/part-*.csv"))
+
+
+def noisy_bmp(path, r, fine):
+    import struct
+
+    w = h = 32
+    a = r.integers(0, 255, (h, w) if fine else (h // 8, w // 8), dtype=np.uint8)
+    a = a if fine else np.kron(a, np.ones((8, 8), np.uint8))
+    body = np.repeat(a[:, :, None], 3, axis=2).tobytes()
+    path.write_bytes(b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body)

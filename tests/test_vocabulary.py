@@ -67,3 +67,20 @@ def test_density_clusters(spark):
 def test_lloyd_needs_points(spark):
     with pytest.raises(ValueError):
         vocabulary.lloyd(spark.createDataFrame([(1, [0.0])], "id int, vec array<double>"), 2, 1)
+
+
+def test_umap_keeps_blobs_apart(spark):
+    r = np.random.default_rng(4)
+    xs = np.concatenate([r.normal(c, 0.1, (25, 5)) for c in (np.eye(5)[0] * 4, np.eye(5)[1] * 4, np.eye(5)[2] * 4)])
+    y = cluster.umap(xs, 2, 8, epochs=100)
+    assert (y == cluster.umap(xs, 2, 8, epochs=100)).all()
+    own = [y[25 * k : 25 * k + 25] for k in range(3)]
+    inside = max(np.linalg.norm(o - o.mean(axis=0), axis=1).mean() for o in own)
+    apart = min(np.linalg.norm(own[a].mean(axis=0) - own[b].mean(axis=0)) for a in range(3) for b in range(a))
+    assert apart > 2 * inside
+    for method in ("none", "pca", "umap"):
+        got = cluster.reduce(points(spark, xs), method, 2).collect()
+        assert len(got) == 75
+        assert np.linalg.norm(got[0]["vec"]) == pytest.approx(1.0)
+    with pytest.raises(ValueError):
+        cluster.reduce(points(spark, xs), "none such")

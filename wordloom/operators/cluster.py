@@ -103,13 +103,80 @@ def leaf_clusters(x: np.ndarray, min_cluster_size: int = 5, min_samples: int = 1
     return labels, prob
 
 
-def reduce(descriptors: DataFrame, method: str = "none", dim: int = 10) -> DataFrame:
-    """vec to unit length, then by `method` (none or pca) to dim dimensions and to unit length again."""
+def umap(x: np.ndarray, dim: int = 10, neighbours: int = 15, min_dist: float = 0.0, epochs: int = 200, seed: int = 42) -> np.ndarray:
+    """Uniform manifold approximation (McInnes, Healy, Melville 2018) of the rows of x: exact neighbours, smoothed local
+    distances, their fuzzy union, principal components to begin with, and attraction and repulsion along sampled edges."""
+    n, r = len(x), np.random.default_rng(seed)
+    k = min(neighbours, n - 1)
+    near, dist = np.empty((n, k), np.int64), np.empty((n, k))
+    norms = (x * x).sum(axis=1)
+    for at in range(0, n, 512):
+        d = np.sqrt(np.maximum(0, norms[at : at + 512, None] + norms - 2 * x[at : at + 512] @ x.T))
+        d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+        top = np.argpartition(d, k - 1, axis=1)[:, :k]
+        near[at : at + 512], dist[at : at + 512] = top, np.take_along_axis(d, top, axis=1)
+    rho = dist.min(axis=1)
+    low, high = np.zeros(n), np.full(n, 1e3)
+    for _ in range(40):  # the width at which the weights of a point sum to log2 k
+        sigma = (low + high) / 2
+        more = np.exp(-np.maximum(0, dist - rho[:, None]) / np.maximum(sigma, 1e-9)[:, None]).sum(axis=1) > np.log2(max(2, k))
+        high, low = np.where(more, sigma, high), np.where(more, low, sigma)
+    w = np.exp(-np.maximum(0, dist - rho[:, None]) / np.maximum((low + high) / 2, 1e-9)[:, None])
+    a, b = np.repeat(np.arange(n), k), near.ravel()
+    key, both = np.concatenate((a * n + b, b * n + a)), np.concatenate((w.ravel(), w.ravel()))
+    edges, inverse = np.unique(key, return_inverse=True)
+    total, product = np.zeros(len(edges)), np.ones(len(edges))
+    np.add.at(total, inverse, both)
+    np.multiply.at(product, inverse, both)
+    twice = np.bincount(inverse) > 1
+    weight = np.where(twice, total - product, total)
+    heads, tails = edges // n, edges % n
+    centred = x - x.mean(axis=0)
+    y = centred @ np.linalg.svd(centred, full_matrices=False)[2][:dim].T
+    y = np.pad(y, ((0, 0), (0, dim - y.shape[1])))
+    y = y / (np.abs(y).max() + 1e-12) * 10 + r.normal(0, 1e-4, (n, dim))
+    grid = np.linspace(0.001, 3, 300)
+    wanted = np.where(grid <= min_dist, 1.0, np.exp(-(grid - min_dist)))
+    p, q = min(((p, q) for p in np.linspace(0.5, 2.5, 41) for q in np.linspace(0.5, 1.5, 41)), key=lambda z: ((1 / (1 + z[0] * grid ** (2 * z[1])) - wanted) ** 2).sum())
+    for epoch in range(epochs):
+        rate = 1 - epoch / epochs
+        hit = r.random(len(weight)) < weight / weight.max()
+        i, j = heads[hit], tails[hit]
+        d = y[i] - y[j]
+        s = np.maximum((d * d).sum(axis=1, keepdims=True), 1e-12)
+        pull = np.clip(-2 * p * q * s ** (q - 1) / (1 + p * s**q) * d, -4, 4) * rate
+        np.add.at(y, i, pull)
+        np.add.at(y, j, -pull)
+        for _ in range(5):
+            o = r.integers(0, n, len(i))
+            d = y[i] - y[o]
+            s = (d * d).sum(axis=1, keepdims=True)
+            np.add.at(y, i, np.clip(2 * q / ((0.001 + s) * (1 + p * s**q)) * d, -4, 4) * rate * (o != i)[:, None])
+    return y
+
+
+def reduce(descriptors: DataFrame, method: str = "none", dim: int = 10, neighbours: int = 15, min_dist: float = 0.0, seed: int = 42) -> DataFrame:
+    """vec to unit length, then by `method` (none, pca, umap) to dim dimensions and to unit length again. umap needs all
+    points in one task and is bounded to MOST_POINTS."""
     x = descriptors.withColumn("vec", l2_normalise(F.col("vec")))
     if method == "none":
         return x
+    if method == "umap":
+        n = x.count()
+        if n > MOST_POINTS:
+            raise ValueError(f"{n} points are too many for umap; take pca")
+        kept = [c for c in x.columns if c != "vec"]
+        schema = ", ".join([f"`{c}` {x.schema[c].dataType.simpleString()}" for c in kept] + ["vec array<double>"])
+
+        def run(pdf):
+            pdf = pdf.sort_values([c for c in ("image_id", "local_idx") if c in kept], kind="stable").reset_index(drop=True)
+            pdf["vec"] = list(umap(np.stack(pdf["vec"].to_numpy()), dim, neighbours, min_dist, seed=seed))
+            return pdf[[*kept, "vec"]]
+
+        got = x.select(*kept, "vec").withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, schema)
+        return got.withColumn("vec", l2_normalise(F.col("vec")))
     if method != "pca":
-        raise ValueError(f"no reducer {method!r}; there are none and pca")
+        raise ValueError(f"no reducer {method!r}; there are none, pca and umap")
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 

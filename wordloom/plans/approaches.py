@@ -63,7 +63,7 @@ def bag_of_words(inputs: Inputs, c: Config, approach: str, tag: str) -> DataFram
 
 def clustered(d: DataFrame, c: Config) -> DataFrame:
     """Survivors of reduction and density clustering: image_id, local_idx, cluster_id, prob."""
-    reduced = cluster.reduce(d, c.reduction.method, c.reduction.dim)
+    reduced = cluster.reduce(d, c.reduction.method, c.reduction.dim, c.reduction.neighbours, c.reduction.min_dist, c.runtime.seed)
     got = stats.survivors(cluster.density_clusters(reduced, c.density.min_cluster_size, c.density.min_samples))
     return materialise(got)
 

@@ -390,6 +390,11 @@ def pca_reduce(spark, d):
     return cluster.reduce(C.vectors(spark, d), "pca", 8).select("vec_id", F.posexplode("vec").alias("dim", "v"))
 
 
+@query("umap_reduce")
+def umap_reduce(spark, d):
+    return cluster.reduce(C.vectors(spark, d), "umap", 4).select("vec_id", F.posexplode("vec").alias("dim", "v"))
+
+
 @query("classify_mllib")
 def classify_mllib(spark, d):
     train, test = _sides(spark, d)

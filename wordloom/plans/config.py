@@ -29,6 +29,8 @@ class Vocabulary:
 class Reduction:
     method: str = "none"
     dim: int = 10
+    neighbours: int = 15
+    min_dist: float = 0.0
 
 
 @D.dataclass
@@ -81,7 +83,7 @@ def check(c: Config) -> None:
     wrong = [
         (" " in c.data.dataset_name, "dataset_name must not hold spaces"),
         (c.selection.mode not in MODES, f"mode must be one of {MODES}"),
-        (c.reduction.method not in ("none", "pca"), "reduction.method must be none or pca"),
+        (c.reduction.method not in ("none", "pca", "umap"), "reduction.method must be none, pca or umap"),
         (not 0 < c.runtime.test_size < 1, "test_size must lie between 0 and 1"),
         (c.vocabulary.k < 1 or c.density.min_cluster_size < 2 or c.density.min_samples < 1, "k, min_cluster_size and min_samples must be 1, 2 and 1 at least"),
         (bool(set(c.selection.strategies) - set(STRATEGY_NAMES)), f"strategies are {STRATEGY_NAMES}"),

@@ -17,6 +17,11 @@ SUFFIXES = ("jpg", "jpeg", "png", "bmp")
 PIXELS = "height int, width int, channels int, data binary"
 
 
+def _path(path):
+    """Readers write local files with one slash or three."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def scan(spark: SparkSession, root: str, many: bool = False, content: bool = False) -> DataFrame:
     """root/<class>/<file>, or with many root/<dataset>/<class>/<file>; hidden folders are passed over."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -27,7 +32,7 @@ def scan(spark: SparkSession, root: str, many: bool = False, content: bool = Fal
     base = F.element_at(F.split(F.lit(root.rstrip("/")), "/"), -1)
     below = F.size(F.split(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "/")) - F.size(F.split(F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z]+:/+", "/"), "/"))
     x = x.where(below == depth)
-    return x.select((part(3) if many else base).alias("dataset"), F.concat(part(2), F.lit("__"), F.regexp_replace(name, r"\.[^.]+$", "")).alias("image_id"), part(2).alias("class"), "path", *(["content"] if content else []))
+    return x.select((part(3) if many else base).alias("dataset"), F.concat(part(2), F.lit("__"), F.regexp_replace(name, r"\.[^.]+$", "")).alias("image_id"), part(2).alias("class"), _path(F.col("path")).alias("path"), *(["content"] if content else []))
 
 
 def datasets(images: DataFrame) -> DataFrame:
@@ -48,7 +53,7 @@ def decode(spark: SparkSession, root: str) -> DataFrame:
     """path and pixels by Spark's image reader; files that can't be read are left out."""
     x = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(root)
     i = F.col("image")
-    return x.select(i["origin"].alias("path"), F.struct(i["height"].alias("height"), i["width"].alias("width"), i["nChannels"].alias("channels"), i["data"].alias("data")).alias("pixels"))
+    return x.select(_path(i["origin"]).alias("path"), F.struct(i["height"].alias("height"), i["width"].alias("width"), i["nChannels"].alias("channels"), i["data"].alias("data")).alias("pixels"))
 
 
 # --- kernels ------------------------------------------------------------------------------------------
