@@ -143,3 +143,25 @@ def noisy_bmp(path, r, fine):
     a = a if fine else np.kron(a, np.ones((8, 8), np.uint8))
     body = np.repeat(a[:, :, None], 3, axis=2).tobytes()
     path.write_bytes(b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body)
+
+
+def test_artifacts(spark, tmp_path):
+    from wordloom.sources import artifacts
+
+    words = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "word_id int, center array<double>")
+    path = str(tmp_path / "v")
+    assert not artifacts.is_valid(spark, path)
+    artifacts.save_vocabulary(words, path, 42, "cosine")
+    got, settings = artifacts.load_vocabulary(spark, path)
+    assert artifacts.is_valid(spark, path)
+    assert sorted(got.collect()) == sorted(words.collect())
+    assert settings == {"k": 2, "seed": 42, "metric": "cosine"}
+    p = spark.createDataFrame([("a", "x", "x", {"x": 0.9, "y": 0.1})], "image_id string, true_label string, predicted_label string, proba map<string,double>")
+    artifacts.save_predictions(p, str(tmp_path / "p"), ["x", "y"])
+    assert artifacts.load_predictions(spark, str(tmp_path / "p")).collect() == p.collect()
+    c = config.Config()
+    before = config.training_hash(c)
+    c.classifiers.enabled = ["knn"]
+    assert config.training_hash(c) == before
+    c.runtime.seed = 7
+    assert config.training_hash(c) != before

@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from wordloom.operators.selection import scores
 
 
+def position_bags(rows: DataFrame) -> DataFrame:
+    """position, and how many rows and images it has; the rows themselves stay keyed by position."""
+    return rows.groupBy("position").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("image_id").alias("n_images"))
+
+
 def positional_stats(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """position, class, word_id, freq (= df)."""
     return rows.join(labels, "image_id").groupBy("position", "class", "word_id").agg(F.count(F.lit(1)).alias("freq"))

@@ -253,6 +253,11 @@ def position_stats(spark, d):
     return positional.positional_stats(*_positional(spark, d))
 
 
+@query("position_bags", f"{_POS} SELECT position, count(*) AS n_rows, count(DISTINCT image_id) AS n_images FROM rows GROUP BY 1")
+def position_bags(spark, d):
+    return positional.position_bags(_positional(spark, d)[0])
+
+
 @query("position_words", f"{_POS} SELECT strategy, position, class, rank, word_id FROM words")
 def position_words(spark, d):
     return positional.position_words(*_positional(spark, d), 3)

@@ -142,6 +142,13 @@ def content_hash(value: Any) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, default=str).encode()).hexdigest()[:10]
 
 
+def training_hash(c: Config, strategy: str | None = None) -> str:
+    """What a stored prediction depends on; which other classifiers are enabled isn't part of it."""
+    raw = D.asdict(c)
+    raw["classifiers"].pop("enabled")
+    return content_hash([{k: raw[k] for k in ("vocabulary", "reduction", "density", "selection", "classifiers")}, c.runtime.test_size, c.runtime.seed, strategy])
+
+
 def ensure_run_id(c: Config) -> str:
     if not c.run_id:
         c.run_id = f"{c.data.dataset_name}_{content_hash(D.asdict(c) | {'run_id': None})}"
