@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import Adam, Words, append_column, bucket_of, labelled_sample, map_rows, sigmoid, worker_state
+from wordloom.llm.common import Adam, Words, append_column, bucket_of, labelled_sample, map_rows, release, sigmoid, worker_state
 from wordloom.session import table
 
 PASSAGE, SHAPES, DIM, HIDDEN, GATE = 48, 1 << 12, 8, 16, 8
@@ -178,7 +178,10 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Scorer:
-    return Scorer().fit(labelled_sample(docs, labels, "quality", per_class))
+    """Learn from at most per_class whole texts of each label."""
+    model = Scorer().fit(labelled_sample(docs, labels, "quality", per_class))
+    release()  # the sample's memory goes back before the driver plans on
+    return model
 
 
 def with_scores(df: DataFrame, model: Scorer, text: str = "text", name: str = "score") -> DataFrame:

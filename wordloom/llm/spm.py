@@ -32,8 +32,8 @@ from wordloom.session import table
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Chunks remembered per worker process before the memory is emptied.
-REMEMBERED = 200_000
+#: Chunks remembered per worker process, in two generations: when the younger one is full it replaces the older.
+REMEMBERED = 240_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
 
 
@@ -144,6 +144,7 @@ class Codec:
             data = f.read()
         self.model = Model(data)
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cuts = self.model.cuttable()
         self.normalizer = self.model.normalizer()
         self._core = None
@@ -173,8 +174,8 @@ class Codec:
         return [None if t is None else np.array(next(got).ids, np.int32) for t in texts]
 
     def _cut(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
+        if len(self.memory) > REMEMBERED // 2:
+            self.older, self.memory = self.memory, {}
         memory, parts = self.memory, []  # of a batch, which is cut by bytes
         new: dict[str, None] = {}
         for t in texts:
@@ -185,8 +186,13 @@ class Codec:
             words = _CHUNK.findall(normal)
             parts.append(words)
             new.update((w, None) for w in words if w not in memory)
-        if new:
-            words = list(new)
+        words = []
+        for w in new:
+            if w in self.older:
+                memory[w] = self.older[w]
+            else:
+                words.append(w)
+        if words:
             for w, e in zip(words, self.core.encode_batch(words, add_special_tokens=False)):
                 memory[w] = array("i", e.ids).tobytes()
         return [None if p is None else np.frombuffer(b"".join(map(memory.__getitem__, p)), np.int32) for p in parts]
