@@ -30,8 +30,9 @@ FILE_ROWS = 100_000
 
 
 def gathered(df: DataFrame, rows: int) -> DataFrame:
-    """A small table of about `rows` rows in as many partitions as that needs, not as many as a shuffle has."""
-    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    """A small table of about `rows` rows in as many partitions as that needs, not as many as a shuffle has; tables
+    below a file's rows still get up to eight."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS), min(8, -(-rows // 10_000))))
 
 
 def materialise(df: DataFrame, rows: int | None = None) -> DataFrame:
