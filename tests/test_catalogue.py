@@ -36,3 +36,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_queries_read_every_line(spark, small):
+    lines = spark.read.parquet(f"{small}/lineitem.parquet")
+    sparse = [n for n, sql in ORACLE_SQL.items() if "l_quantity = 50" in sql]
+    assert len(sparse) == 14 and all("l_quantity" not in ORACLE_SQL[f"{n}_whole"] for n in sparse)
+    assert sum(r["score"] for r in QUERIES["score_gcf_whole"](spark, small).collect()) == lines.count()
+    assert sum(r["n_images"] for r in QUERIES["class_sizes_whole"](spark, small).collect()) == lines.select("l_orderkey").distinct().count()
