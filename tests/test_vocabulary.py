@@ -64,6 +64,30 @@ def test_density_clusters(spark):
     assert len(got) == 46
 
 
+@pytest.mark.parametrize("min_samples", [1, 4])
+def test_large_groups_give_the_same_clusters(spark, monkeypatch, min_samples):
+    r = np.random.default_rng(5)
+    xs = np.concatenate([r.normal(c, 0.1, (60, 5)) for c in np.eye(5)[:4] * 3] + [r.normal(0, 2, (10, 5))])
+    d = points(spark, xs)
+    want = sorted((x["image_id"], x["local_idx"], x["label"], round(x["prob"], 6)) for x in cluster.density_clusters(d, 5, min_samples).collect())
+    assert len({x[2] for x in want}) > 3
+    monkeypatch.setattr(cluster, "MOST_POINTS", 50)
+    monkeypatch.setattr(cluster, "CHUNK_BYTES", 70 * 5 * 8)  # four chunks
+    got = cluster.density_clusters(d, 5, min_samples)
+    assert sorted((x["image_id"], x["local_idx"], x["label"], round(x["prob"], 6)) for x in got.collect()) == want
+    ordered, n = cluster.numbered(d.select("image_id", "local_idx", F.col("vec").cast("array<double>").alias("vec")), "image_id", "local_idx")
+    x = np.array([v["vec"] for v in ordered.orderBy("__i").collect()])
+    assert np.sort(cluster.spanning_edges_of(ordered, n, min_samples)[:, 2]) == pytest.approx(np.sort(cluster.spanning_edges(x, min_samples)[:, 2]))
+
+
+def test_large_umap_lays_out_every_point(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    d = points(spark, np.concatenate([r.normal(c, 0.1, (25, 5)) for c in np.eye(5)[:3] * 4]))
+    monkeypatch.setattr(cluster, "MOST_POINTS", 50)
+    got = cluster.reduce(d, "umap", 2, 8).collect()
+    assert len({x["image_id"] for x in got}) == len({x["image_id"] for x in d.collect()}) and len(got) == 75
+
+
 def test_lloyd_needs_points(spark):
     with pytest.raises(ValueError):
         vocabulary.lloyd(spark.createDataFrame([(1, [0.0])], "id int, vec array<double>"), 2, 1)

@@ -1,19 +1,26 @@
 """Reducing and clustering descriptors: unit vectors, an optional projection, density clusters of the hierarchy's
 leaves, noise dropped, labels without gaps.
 
-Density clusters need all points of a group in one task, so their number is bounded (MOST_POINTS); larger inputs are
-clustered on K-means cells first, by `cells`.
+Groups of up to MOST_POINTS points are clustered in one task each. Above that the exact nearest neighbours are found by
+blocks in all tasks, the spanning tree of a group grows from them in Boruvka rounds, and the driver holds its edges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.vectors import l2_normalise, wide
+from wordloom.session import materialise
 
+#: Points that one task clusters.
 MOST_POINTS = 20_000
+#: Bytes of vectors that are broadcast at a time, and rows that a task compares with them at a time.
+CHUNK_BYTES, ROWS = 32 << 20, 128
 
 
 def spanning_edges(x: np.ndarray, min_samples: int = 1) -> np.ndarray:
@@ -41,11 +48,15 @@ def spanning_edges(x: np.ndarray, min_samples: int = 1) -> np.ndarray:
 
 def leaf_clusters(x: np.ndarray, min_cluster_size: int = 5, min_samples: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Labels (-1: noise) and membership strengths of the condensed hierarchy's leaves (Campello, Moulavi, Sander 2013)."""
-    n = len(x)
+    if len(x) < max(2, min_cluster_size):
+        return np.full(len(x), -1, np.int64), np.zeros(len(x))
+    return leaves_of(spanning_edges(x, min_samples), min_cluster_size)
+
+
+def leaves_of(edges: np.ndarray, min_cluster_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the edges of a spanning tree."""
+    n = len(edges) + 1
     labels, prob = np.full(n, -1, np.int64), np.zeros(n)
-    if n < max(2, min_cluster_size):
-        return labels, prob
-    edges = spanning_edges(x, min_samples)
     edges = edges[np.argsort(edges[:, 2], kind="stable")]
     parent, size = np.arange(2 * n - 1), np.concatenate((np.ones(n, np.int64), np.zeros(n - 1, np.int64)))
     kids, dist = np.zeros((n - 1, 2), np.int64), edges[:, 2]
@@ -103,14 +114,166 @@ def leaf_clusters(x: np.ndarray, min_cluster_size: int = 5, min_samples: int = 1
     return labels, prob
 
 
-def umap(x: np.ndarray, dim: int = 10, neighbours: int = 15, min_dist: float = 0.0, epochs: int = 200, seed: int = 42) -> np.ndarray:
+def numbered(x: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """x with __i, 0 .. n - 1 in the given order, in the shared folder, and n. Rows are numbered within partitions."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    y = materialise(x.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__row": row}))
+    before, n = [], 0
+    for part, rows in sorted((r["__part"], r["count"]) for r in y.groupBy("__part").count().collect()):
+        before += [F.lit(part), F.lit(n).cast("bigint")]
+        n += rows
+    return y.withColumn("__i", F.create_map(*before)[F.col("__part")] + F.col("__row")).drop("__part", "__row"), n
+
+
+def _chunks(points: DataFrame, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The vectors in order, CHUNK_BYTES of them at a time, and the number of the first."""
+
+    def pack(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"i": [pdf["__i"].to_numpy(np.int64).tobytes()], "x": [np.stack(pdf["vec"].to_numpy()).tobytes()]})
+
+    dim = len(points.select("vec").first()["vec"])
+    step = max(1, CHUNK_BYTES // (8 * max(1, dim)))
+    for first in range(0, n, step):
+        x = np.empty((min(step, n - first), dim))
+        for r in points.where(F.col("__i").between(first, first + step - 1)).select("__i", "vec").mapInPandas(pack, "i binary, x binary").collect():
+            x[np.frombuffer(r["i"], np.int64) - first] = np.frombuffer(r["x"]).reshape(-1, dim)
+        yield first, x
+
+
+def _compared(points: DataFrame, chunk: np.ndarray, work, columns: dict[str, type], wanted: np.ndarray | None = None) -> Iterator[list[np.ndarray]]:
+    """work(numbers, vectors, squared distances to the chunk, their error at most, chunk) of ROWS points at a time, in all tasks."""
+    spark = points.sparkSession
+    sent, chosen = spark.sparkContext.broadcast(chunk), spark.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        b, chosen_ = sent.value, chosen.value
+        norms = (b * b).sum(axis=1)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ids, a = pdf["__i"].to_numpy(np.int64), np.stack(pdf["vec"].to_numpy())
+            if chosen_ is not None:
+                ids, a = ids[chosen_[ids]], a[chosen_[ids]]
+            for at in range(0, len(a), ROWS):
+                own = a[at : at + ROWS]
+                mine = (own * own).sum(axis=1)
+                d = own @ b.T
+                d *= -2
+                d += norms
+                d += mine[:, None]
+                error = 16 * a.shape[1] * np.finfo(float).eps * (mine + norms.max())
+                got = work(ids[at : at + ROWS], own, d, error, b)
+                yield pd.DataFrame({c: [np.ascontiguousarray(v, t).tobytes()] for (c, t), v in zip(columns.items(), got)})
+
+    spread = points.select("__i", "vec").repartition(4 * spark.sparkContext.defaultParallelism)
+    for r in spread.mapInPandas(run, ", ".join(f"{c} binary" for c in columns)).collect():
+        yield [np.frombuffer(r[c], t) for c, t in columns.items()]
+    sent.unpersist()
+    chosen.unpersist()
+
+
+def nearest(points: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers and distances of the k nearest other points of every point, nearest first, and a distance below which no
+    point is missing."""
+    near, dist, bound = np.zeros((n, k), np.int64), np.full((n, k), np.inf), np.full(n, np.inf)
+    for first, chunk in _chunks(points, n):
+
+        def work(ids, own, d, error, b, first=first):
+            here = (ids >= first) & (ids < first + len(b))
+            d[np.flatnonzero(here), ids[here] - first] = np.inf
+            m = min(k, len(b))
+            top = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(b) else np.tile(np.arange(m), (len(d), 1))
+            rough = np.take_along_axis(d, top, axis=1)
+            low = np.sqrt(np.maximum(0, rough.max(axis=1) - error)) if m < len(b) else np.full(len(d), np.inf)
+            exact = np.where(np.isfinite(rough), np.sqrt(((own[:, None] - b[top]) ** 2).sum(axis=2)), np.inf)
+            return ids, np.pad(top + first, ((0, 0), (0, k - m))), np.pad(exact, ((0, 0), (0, k - m)), constant_values=np.inf), low
+
+        for ids, top, exact, low in _compared(points, chunk, work, {"i": np.int64, "near": np.int64, "dist": np.float64, "low": np.float64}):
+            a, b = np.hstack((near[ids], top.reshape(-1, k))), np.hstack((dist[ids], exact.reshape(-1, k)))
+            order = np.argsort(b, axis=1, kind="stable")[:, :k]
+            near[ids], dist[ids] = np.take_along_axis(a, order, axis=1), np.take_along_axis(b, order, axis=1)
+            bound[ids] = np.minimum(np.minimum(bound[ids], low), dist[ids, -1])
+    return near, dist, bound
+
+
+def _outside(points: DataFrame, n: int, wanted: np.ndarray, group: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the wanted points: the least mutual reachability to a point of another group, and that point."""
+    w, to = np.full(n, np.inf), np.zeros(n, np.int64)
+    sent = points.sparkSession.sparkContext.broadcast((group, core))
+    for first, chunk in _chunks(points, n):
+
+        def work(ids, own, d, error, b, first=first):
+            group_, core_ = sent.value
+            far = core_[first : first + len(b)]
+            np.maximum(d, far * far, out=d)
+            d[group_[ids][:, None] == group_[first : first + len(b)]] = np.inf
+            found, at = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
+            low = np.maximum(d.min(axis=1), core_[ids] ** 2)
+            for r in np.flatnonzero(np.isfinite(low)):
+                near = np.flatnonzero(d[r] <= low[r] + 2 * error[r])
+                exact = np.maximum(np.maximum(np.sqrt(((own[r] - b[near]) ** 2).sum(axis=1)), far[near]), core_[ids[r]])
+                found[r], at[r] = exact.min(), near[exact.argmin()] + first
+            return ids, found, at
+
+        for ids, found, at in _compared(points, chunk, work, {"i": np.int64, "w": np.float64, "to": np.int64}, wanted):
+            less = found < w[ids]
+            w[ids[less]], to[ids[less]] = found[less], at[less]
+    sent.unpersist()
+    return w, to
+
+
+def spanning_edges_of(points: DataFrame, n: int, min_samples: int = 1) -> np.ndarray:
+    """spanning_edges of a numbered table, by Boruvka's rounds: every group but the largest takes its shortest edge to
+    another one. Neighbour lists tell most of them; points whose list ends too early are compared with all others."""
+    near, dist, bound = nearest(points, n, min(n - 1, max(16, min_samples + 8)))
+    core = dist[:, min(min_samples, n - 1) - 1].copy() if min_samples > 1 else np.zeros(n)
+    reach = np.maximum(np.maximum(dist, core[near]), core[:, None])
+    group, every, out = np.arange(n), np.arange(n), []
+    while True:
+        names, group = np.unique(group, return_inverse=True)
+        if len(names) == 1:
+            return np.array(out, float).reshape(-1, 3)
+        largest = np.bincount(group).argmax()
+        away = np.where(group[near] != group[:, None], reach, np.inf)
+        place = away.argmin(axis=1)
+        w, to = away[every, place], near[every, place]
+        best = np.full(len(names), np.inf)
+        np.minimum.at(best, group, w)
+        wanted = (group != largest) & (w > bound) & (bound < best[group])
+        if wanted.any():
+            more, there = _outside(points, n, wanted, group, core)
+            w, to = np.where(more < w, more, w), np.where(more < w, there, to)
+        rows = np.flatnonzero((group != largest) & np.isfinite(w))
+        low, high = np.minimum(every, to), np.maximum(every, to)
+        rows = rows[np.lexsort((high[rows], low[rows], w[rows]))]
+        chosen = np.sort(np.unique(group[rows], return_index=True)[1])
+        parent = list(range(len(names)))
+
+        def root(g: int) -> int:
+            while parent[g] != g:
+                parent[g] = parent[parent[g]]
+                g = parent[g]
+            return g
+
+        for i in rows[chosen].tolist():
+            a, b = root(int(group[i])), root(int(group[to[i]]))
+            if a != b:
+                parent[a] = b
+                out.append((i, to[i], w[i]))
+        group = np.array([root(g) for g in range(len(names))])[group]
+
+
+def umap(x: np.ndarray, dim: int = 10, neighbours: int = 15, min_dist: float = 0.0, epochs: int = 200, seed: int = 42, graph: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Uniform manifold approximation (McInnes, Healy, Melville 2018) of the rows of x: exact neighbours, smoothed local
-    distances, their fuzzy union, principal components to begin with, and attraction and repulsion along sampled edges."""
+    distances, their fuzzy union, principal components to begin with, and attraction and repulsion along sampled edges. graph: the neighbours' numbers
+    and distances, where they are known."""
     n, r = len(x), np.random.default_rng(seed)
     k = min(neighbours, n - 1)
-    near, dist = np.empty((n, k), np.int64), np.empty((n, k))
+    near, dist = graph or (np.empty((n, k), np.int64), np.empty((n, k)))
     norms = (x * x).sum(axis=1)
-    for at in range(0, n, 512):
+    for at in range(0, 0 if graph else n, 512):
         d = np.sqrt(np.maximum(0, norms[at : at + 512, None] + norms - 2 * x[at : at + 512] @ x.T))
         d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
         top = np.argpartition(d, k - 1, axis=1)[:, :k]
@@ -156,24 +319,25 @@ def umap(x: np.ndarray, dim: int = 10, neighbours: int = 15, min_dist: float = 0
 
 
 def reduce(descriptors: DataFrame, method: str = "none", dim: int = 10, neighbours: int = 15, min_dist: float = 0.0, seed: int = 42) -> DataFrame:
-    """vec to unit length, then by `method` (none, pca, umap) to dim dimensions and to unit length again. umap needs all
-    points in one task and is bounded to MOST_POINTS."""
+    """vec to unit length, then by `method` (none, pca, umap) to dim dimensions and to unit length again. umap lays all
+    points out in one task; above MOST_POINTS its neighbours are found in all tasks before."""
     x = descriptors.withColumn("vec", l2_normalise(F.col("vec")))
     if method == "none":
         return x
     if method == "umap":
-        n = x.count()
-        if n > MOST_POINTS:
-            raise ValueError(f"{n} points are too many for umap; take pca")
         kept = [c for c in x.columns if c != "vec"]
         schema = ", ".join([f"`{c}` {x.schema[c].dataType.simpleString()}" for c in kept] + ["vec array<double>"])
+        order, graph = [c for c in ("image_id", "local_idx") if c in kept], None
+        if (n := x.count()) > MOST_POINTS:
+            x, n = numbered(x, *order)
+            order, graph = ["__i"], x.sparkSession.sparkContext.broadcast(nearest(x, n, min(neighbours, n - 1))[:2])
 
         def run(pdf):
-            pdf = pdf.sort_values([c for c in ("image_id", "local_idx") if c in kept], kind="stable").reset_index(drop=True)
-            pdf["vec"] = list(umap(np.stack(pdf["vec"].to_numpy()), dim, neighbours, min_dist, seed=seed))
+            pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+            pdf["vec"] = list(umap(np.stack(pdf["vec"].to_numpy()), dim, neighbours, min_dist, seed=seed, graph=graph and graph.value))
             return pdf[[*kept, "vec"]]
 
-        got = x.select(*kept, "vec").withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, schema)
+        got = x.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, schema)
         return got.withColumn("vec", l2_normalise(F.col("vec")))
     if method != "pca":
         raise ValueError(f"no reducer {method!r}; there are none, pca and umap")
@@ -190,9 +354,8 @@ def density_clusters(descriptors: DataFrame, min_cluster_size: int = 5, min_samp
     kind = descriptors.schema["image_id"].dataType.simpleString()
     x = descriptors.select("image_id", "local_idx", wide(F.col("vec")).alias("vec"))
     x = x.join(cells, ["image_id", "local_idx"]) if cells is not None else x.withColumn("cell", F.lit(0))
-    over = x.groupBy("cell").count().where(F.col("count") > MOST_POINTS).limit(1).collect()
-    if over:
-        raise ValueError(f"{over[0]['count']} points in one cell; give smaller cells")
+    over = x.groupBy("cell").count().where(F.col("count") > MOST_POINTS).collect()
+    stride = max([MOST_POINTS, *(r["count"] for r in over)])
 
     def run(pdf):
         pdf = pdf.sort_values(["image_id", "local_idx"], kind="stable")
@@ -201,6 +364,24 @@ def density_clusters(descriptors: DataFrame, min_cluster_size: int = 5, min_samp
         out["label"], out["prob"] = labels, prob.astype("float32")
         return out
 
-    got = x.groupBy("cell").applyInPandas(run, f"image_id {kind}, local_idx int, cell int, label bigint, prob float")
-    label = F.when(F.col("label") < 0, F.lit(-1).cast("bigint")).otherwise(F.col("cell").cast("bigint") * MOST_POINTS + F.col("label"))
+    schema = f"image_id {kind}, local_idx int, cell int, label bigint, prob float"
+    large = [r["cell"] for r in over]
+    got = (x.where(~F.col("cell").isin(large)) if large else x).groupBy("cell").applyInPandas(run, schema)
+    for cell in large:
+        got = got.unionByName(_large_group(x.where(F.col("cell") == cell), min_cluster_size, min_samples, schema))
+    label = F.when(F.col("label") < 0, F.lit(-1).cast("bigint")).otherwise(F.col("cell").cast("bigint") * stride + F.col("label"))
     return got.select("image_id", "local_idx", label.alias("label"), "prob")
+
+
+def _large_group(x: DataFrame, min_cluster_size: int, min_samples: int, schema: str) -> DataFrame:
+    points, n = numbered(x, "image_id", "local_idx")
+    labels, prob = leaves_of(spanning_edges_of(points, n, min_samples), min_cluster_size)
+    sent = points.sparkSession.sparkContext.broadcast((labels, prob.astype("float32")))
+
+    def run(batches):
+        for pdf in batches:
+            out = pdf[["image_id", "local_idx", "cell"]].copy()
+            out["label"], out["prob"] = (v[pdf["__i"].to_numpy()] for v in sent.value)
+            yield out
+
+    return points.drop("vec").mapInPandas(run, schema)
