@@ -27,11 +27,18 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five words, similarity 0.8: the document of the smallest id of each group stays, once."""
-    found = materialise(ngram_join.jaccard_components(docs.select("doc_id", "text"), n=5, percent=80).select("doc_id", "component_id"))
-    copies = found.where("component_id != doc_id").select("doc_id").distinct()
-    kept = kept_by(docs, copies, "left_anti")
-    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    """Five words, similarity 0.8: the row of the smallest (id, row number) of each group stays, null ids last. Rows are
+    joined and dropped by their numbers, so rows that share an id, or have none, are judged by their own texts. Rows of
+    one id and equal texts without words stay once."""
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = ngram_join.jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), n=5, percent=80)
+    found = found.select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
+    found = materialise(found.join(rows.select("__row", F.col("doc_id").alias("__name")), "__row"), rows.count())
+    first = F.min(F.struct(F.col("__name").isNull().alias("none"), "__name", "__row"))
+    groups = found.groupBy(F.col("component_id").alias("doc_id")).agg(first["__row"].alias("__first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copies = kept_by(found.withColumnRenamed("component_id", "doc_id"), groups, "inner").where("__row != __first").select(F.col("__row").alias("doc_id"))
+    kept = kept_by(rows.withColumnsRenamed({"doc_id": "__name", "__row": "doc_id"}), copies, "left_anti").drop("doc_id").withColumnRenamed("__name", "doc_id")
+    twice = found.where("n_shingles = 0 and __name is not null").groupBy(F.col("__name").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     if not twice.limit(1).count():
         return kept.select(docs.columns)
     once = kept_by(kept, twice, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -63,6 +63,22 @@ def test_one_document_of_each_group_stays(stages):
     assert set(got) == want
 
 
+def test_near_copies_are_judged_by_row(spark):
+    words = [f"w{k}" for k in range(200)]
+    text = lambda a, b: " ".join(words[a:b])
+    made = [
+        (1, text(0, 60)), (5, text(0, 60)), (5, text(100, 160)),  # a repeated id: one text is a copy, the other is not
+        (7, "a b c d e f g h i j " * 9 + "k"), (7, "a b c d e f g h i j " * 9 + "k l"),  # near copies under one id
+        (None, "p q r s t u v"), (None, "p q r s t u v"), (None, ""), (8, ""), (8, ""),
+        (20, text(60, 98)), (None, text(60, 98) + " a1 a2 a3 a4"), (3, text(60, 98) + " a1 a2 a3 a4 a5 a6 a7 a8 a9"),  # a chain through a null id
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 1) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in cp.drop_near_copies(spark, docs, FOLDER).collect())
+    seven = {t for i, t in got if i == 7}
+    assert len(seven) == 1
+    assert got == Counter([(1, made[0][1]), (5, made[2][1]), (7, seven.pop()), (None, "p q r s t u v"), (None, ""), (8, ""), (3, made[12][1])])
+
+
 def test_mix_follows_the_targets(spark, stages):
     before, after = stages["mix"]
     copies = {r["doc_id"]: r["copies"] for r in mixing.copies_of(mixing.sized(before)).collect()}
