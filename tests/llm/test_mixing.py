@@ -98,3 +98,19 @@ def test_query(spark, small):
     assert rows.columns == ["doc_id", "size", "source_size", "target", "taken"]
     source = spark.createDataFrame([(d[0], d[2]) for d in docs], "doc_id long, source string")
     check(rows.join(source, "doc_id").collect(), docs)
+
+
+def test_dealt_slots_hold_what_is_taken(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string, source string").repartition(3)
+    base = mixing.sized(docs)
+    taken = {r["__row"]: r["taken"] for r in mixing.takings(base).collect()}
+    rows = mixing.dealt(base, 8).collect()
+    words, slots = Counter(), defaultdict(list)
+    for r in rows:
+        words[r["__row"]] += r["hi"] - r["lo"]
+        slots[r["shard"], r["position"]].append((r["lo"], r["hi"]))
+    assert words == Counter({k: v for k, v in taken.items() if v})
+    assert {s for s, _ in slots} <= set(range(8)) and len({s for s, _ in slots}) > 1
+    for spans in slots.values():  # a slot's documents lie end to end, without gaps
+        spans.sort()
+        assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[-1][1] <= mixing.BLOCK

@@ -120,6 +120,17 @@ def takings(base: DataFrame) -> DataFrame:
     return gathered(taken.join(of, F.col("source").eqNullSafe(F.col("__of"))).drop("__of"), rows)
 
 
+def dealt(base: DataFrame, shards: int = 64) -> DataFrame:
+    """The mix of `sized` documents itself: shard, position, doc_id, __row, and the words [lo, hi) of the slot's block that
+    the document fills there. A document's words in all slots together are its `taken`."""
+    targets = materialise(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))), 1)  # a row per source
+    name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
+    slots = slots_of(targets, shards).select(name.alias("__name"), "block", "words", "shard", "position")
+    pieces = pieces_of(base, base.count()).where("block is not null").withColumn("__name", name)
+    met = pieces.join(slots.hint("merge"), ["__name", "block"]).where("lo < words")
+    return met.select("shard", "position", "doc_id", "__row", "lo", F.least("hi", "words").alias("hi"))
+
+
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:
     return takings(sized(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
