@@ -73,6 +73,16 @@ def test_recall_with_many_lists(spark, monkeypatch):
     assert all(len(got[q]) == 5 for q in queries)
 
 
+def test_queries_of_tiny_lists_get_k_answers(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    monkeypatch.setattr(ann, "LIST_SHARE", 2)  # lists of about four entries
+    rows = [(4 * g + i, f32(c + 0.001 * r.normal(size=12))) for g, c in enumerate(r.normal(size=(40, 12))) for i in range(4)]
+    queries = set(range(0, 160, 7))
+    got = run(spark, rows, queries)
+    assert {q: len(a) for q, a in got.items()} == dict.fromkeys(queries, 5)
+    assert all(len({i for i, _ in a}) == 5 and q not in {i for i, _ in a} for q, a in got.items())
+
+
 def test_graph_search_finds_the_nearest_lists():
     r = np.random.default_rng(2)
     x = r.normal(size=(9000, 12)).astype(np.float32)

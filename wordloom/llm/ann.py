@@ -5,7 +5,8 @@ that charge for full lists gives the centroids; each points to near and to rando
 search over that graph finds a query's nearest centroids in memory. Every vector is put in its nearest list
 and, near a boundary, in up to REPLICAS - 1 more: those not over CLOSURE times as far, unless a list that it
 already has lies nearer to that centroid than the vector does. A query reads the lists at most RATIO times as far
-as its nearest one, up to an eighth of all lists and 64 at least; with 64 lists or fewer that can be all.
+as its nearest one, up to an eighth of all lists and 64 at least; with 64 lists or fewer that can be all. A query that
+finds fewer than k other ids there is answered again over all lists.
 
 Equal vectors are one entry with their k + 1 smallest ids, enough for any answer. A list expected to hold over
 LIST_ROWS entries, or to be asked by over LIST_ROWS queries, is dealt to cells; a cell's entries are read
@@ -147,18 +148,27 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """rows, queries: id (bigint), vector (array<double> or <float>). query_id, rank, vec_id, score."""
     rows, queries = (x.select(F.col("id").cast("bigint").alias("id"), "vector").where(F.col("id").isNotNull() & usable(F.col("vector"))) for x in (rows, queries))
     sizes = sorted(r[0] for r in rows.select(F.size("vector")).distinct().collect())  # dimensions in use: a handful
-    found = None
-    for d in sizes:
-        one = _nearest(rows.where(F.size("vector") == d), queries.where(F.size("vector") == d), k)
-        found = one if found is None else found.unionByName(one)
+
+    def answers(asked: DataFrame, everywhere: bool) -> DataFrame | None:
+        found = None
+        for d in sizes:
+            one = _nearest(rows.where(F.size("vector") == d), asked.where(F.size("vector") == d), k, everywhere)
+            found = one if found is None else found.unionByName(one)
+        return found
+
+    found = answers(queries, False)
     if found is None:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = materialise(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+    full = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    short = materialise(queries.join(full, F.col("id") == F.col("query_id"), "left_anti"))
+    if short.limit(1).count():
+        best = best.unionByName(answers(short, True)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _nearest(rows: DataFrame, queries: DataFrame, k: int, everywhere: bool) -> DataFrame:
     mark = F.xxhash64("vector")
     few = rows.distinct().withColumn("n", F.row_number().over(W.partitionBy(mark, "vector").orderBy("id"))).where(F.col("n") <= k + 1)
     entries = materialise(few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")))  # k + 1 ids at most
@@ -169,7 +179,7 @@ def _nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(index)
     parts = {c: int(-(-s * total // LIST_ROWS)) or 1 for c, s in enumerate(index.share)}
     asked = queries.count()
-    turns = {c: int(-(-s * asked // LIST_ROWS)) or 1 for c, s in enumerate(index.asked)}
+    turns = {c: int(-(-(1 if everywhere else s) * asked // LIST_ROWS)) or 1 for c, s in enumerate(index.asked)}
 
     def cells_of(ids: list[int], lists: list[np.ndarray], split: dict, every: dict, queries_: bool) -> list[list[int]]:
         """An entry lies in one part of each list, for all its turns; a query takes one turn, in all parts."""
@@ -187,7 +197,8 @@ def _nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return {"cells": cells_of([i[0] for i in x["ids"]], shared.value.homes(_stack(x["vector"])), parts, turns, False), "id": [None] * len(x["ids"]), "ids": x["ids"], "vector": x["vector"]}
 
     def place_queries(x: dict) -> dict:
-        return {"cells": cells_of(x["id"], shared.value.search(_stack(x["vector"])), turns, parts, True), "id": x["id"], "ids": [None] * len(x["id"]), "vector": x["vector"]}
+        lists = [np.arange(len(shared.value.centroids))] * len(x["id"]) if everywhere else shared.value.search(_stack(x["vector"]))
+        return {"cells": cells_of(x["id"], lists, turns, parts, True), "id": x["id"], "ids": [None] * len(x["id"]), "vector": x["vector"]}
 
     kind = rows.schema["vector"].dataType.simpleString()
     schema = f"cells array<bigint>, id bigint, ids array<bigint>, vector {kind}"
