@@ -88,3 +88,15 @@ def test_query(spark, small):
     for r in spark.read.parquet(f"{small}/documents.parquet").collect():
         raw = r["text"].encode()
         assert got[r["doc_id"]]["payload_sha256"] == hashlib.sha256(raw + b"\0" * (-len(raw) % 64)).hexdigest()
+
+
+def test_pages_after_a_broken_one_are_kept(spark):
+    grids = [np.full((4, 64), v, np.uint8) for v in (1, 2, 3)]
+    media = bytearray(tiff.build(grids, [tiff.NONE, tiff.DEFLATE, tiff.NONE], predictor=False))
+    packed = tiff._pack(grids[1].tobytes(), tiff.DEFLATE)
+    at = bytes(media).index(packed)
+    media[at : at + len(packed)] = b"\xff" * len(packed)
+    rows = tiff.decode_pages(spark.createDataFrame([(1, bytes(media))], "doc_id long, media binary")).orderBy("page").collect()
+    assert [r["page"] for r in rows] == [0, 1, 2]
+    assert [r["pixels"] and bytes(r["pixels"]) for r in rows] == [grids[0].tobytes(), None, grids[2].tobytes()]
+    assert rows[1]["error"].startswith("deflate") and rows[0]["error"] is None is rows[2]["error"]

@@ -4,7 +4,7 @@ Decoded: little and big endian, 8 and 16 bits a sample, any number of interleave
 tiles, compression none, LZW, deflate (both codes) and PackBits, horizontal predictor. Cases:
 
 * null media: one row with page null and error 'null'; empty or broken media: one row with the reason in
-  `error`, pages before the broken one are kept; an endless chain of directories is an error;
+  `error`, and so a broken page, while all others of its file are kept; an endless chain of directories is an error;
 * null text: stored as the empty text; an empty text is one row of 64 zero bytes;
 * repeated rows give repeated rows, an empty table gives none, other columns are not looked at.
 """
@@ -246,8 +246,9 @@ def build(pages: list[np.ndarray], compressions: list[int], predictor: bool = Tr
 _SIZES = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
 
 
-def pages(media: bytes) -> Iterator[dict]:
-    """Walk the image directories of a TIFF; a dict a page, pixels as rows x columns x samples."""
+def pages(media: bytes, broken: bool = False) -> Iterator[dict]:
+    """Walk the image directories of a TIFF; a dict a page, pixels as rows x columns x samples. broken: a page that can't be
+    decoded is a dict of its number and error, and the walk goes on."""
     order = {b"II": "<", b"MM": ">"}.get(media[:2])
     if not order or len(media) < 8 or struct.unpack_from(order + "H", media, 2)[0] != 42:
         raise TiffError("not a TIFF")
@@ -266,7 +267,13 @@ def pages(media: bytes) -> Iterator[dict]:
                     place = at + 10 + 12 * k if size * count <= 4 else struct.unpack_from(order + "I", media, at + 10 + 12 * k)[0]
                     tags[tag] = struct.unpack_from(f"{order}{count}{code}", media, place)
             (at,) = struct.unpack_from(order + "I", media, at + 2 + 12 * n)
-            yield _page(media, order, tags, number)
+            try:
+                page = _page(media, order, tags, number)
+            except TiffError as e:
+                if not broken:
+                    raise
+                page = {"page": number, "error": str(e)}
+            yield page
             number += 1
     except struct.error as e:
         raise TiffError(f"directory past the end: {e}") from e
@@ -353,8 +360,8 @@ def decode_pages(df: DataFrame, media: str = "media", key: str = "doc_id") -> Da
             try:
                 if m is None:
                     raise TiffError("null")
-                for p in pages(bytes(m)):
-                    rows.append(p | {"k": k, "pixels": p["pixels"].tobytes(), "error": None})
+                for p in pages(bytes(m), broken=True):
+                    rows.append(p | {"k": k} | ({"pixels": p["pixels"].tobytes(), "error": None} if "pixels" in p else {}))
             except TiffError as e:
                 rows.append({"k": k, "error": str(e)})
         return {n: [r.get(n) for r in rows] for n in ["k", *names]}
