@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list = []
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where that is unset (tests, one machine) a
-    temporary folder is made and kept as the session's setting."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir. Where that is unset, one machine (a local master, as in tests) gets a
+    temporary folder for the session; a cluster gets an error, for its executors share no such folder."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or _own.get(context.applicationId)
     if not found:
-        found = tempfile.mkdtemp(prefix="wordloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        found = _own[context.applicationId] = tempfile.mkdtemp(prefix="wordloom-")
     return found.rstrip("/")
 
 
@@ -50,11 +53,28 @@ def materialise(df: DataFrame, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables there are; a mark for `release`."""
+    return len(_written)
+
+
+def release(since: int, keep: int = 1) -> None:
+    """Delete the tables written after the mark `since`, but the last `keep` of them."""
+    last = len(_written) - keep
+    for entry in _written[since:last]:
+        _delete(*entry)
+    del _written[since:last]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean() -> None:
-    for spark, path in _written:
+    for entry in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(*entry)
         except Exception:  # noqa: BLE001  the session may be gone; the folder's owner cleans up then
             pass
