@@ -4,6 +4,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
 from tests_brute import brute
 from wordloom.llm import mixing, quality, toxicity
 from wordloom.llm.common import vocabulary_path
@@ -81,8 +82,9 @@ def test_near_copies_are_judged_by_row(spark):
 
 def test_mix_follows_the_targets(spark, stages):
     before, after = stages["mix"]
-    copies = {r["doc_id"]: r["copies"] for r in mixing.copies_of(mixing.sized(before)).collect()}
-    want = Counter({r["doc_id"]: copies[r["doc_id"]] for r in before.collect() if copies[r["doc_id"]]})
+    base = mixing.sized(before)
+    ids = {r["__row"]: r["doc_id"] for r in base.collect()}
+    want = Counter({ids[r["__row"]]: r["copies"] for r in mixing.copies_of(base).collect() if r["copies"]})
     assert Counter(r["doc_id"] for r in after.collect()) == want
     assert max(want.values()) <= 3
 
@@ -98,3 +100,33 @@ def test_run_and_empty(spark, tmp_path, stages):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{FOLDER}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_extra_columns_whose_names_clash(spark):
+    """What the stages might call their own columns comes out as it went in."""
+    extra = ["__score", "__row", "__copies", "__copy", "copies", "__id", "__decided", "__of", "__in", "n", "first", "name", "size", "block"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").limit(150)
+    docs = docs.unionByName(spark.createDataFrame(EDGE, docs.schema))
+    wide = docs.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in extra])
+    for name, stage in cp.STAGES[:4]:
+        plain, got = stage(spark, docs, FOLDER), stage(spark, wide, FOLDER)
+        assert got.columns == wide.columns, name
+        rows_ = got.collect()
+        assert Counter(tuple(r)[:5] for r in rows_) == Counter(rows(plain)), name
+        assert all(r[c] == (f"{c} of {r['doc_id']}" if r["doc_id"] is not None else None) for r in rows_ for c in extra), name
+    encoded = cp.encode(spark, wide, FOLDER)
+    assert encoded.columns == ["doc_id", "source", "n_pieces", "piece_ids"] and encoded.count() == wide.count()
+
+
+def test_a_stage_s_tables_go_when_its_result_is_written(spark):
+    import os
+
+    from wordloom import session
+
+    docs = spark.createDataFrame([(i, f"word{i} " * 30, "en", f"s{i % 2}", 1) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    mark = session.written()
+    kept = session.materialise(cp.mix(spark, docs, FOLDER))
+    paths = [p for _, p in session._written[mark:]]
+    session.release(mark)
+    assert [os.path.exists(p) for p in paths] == [False] * (len(paths) - 1) + [True] and len(paths) > 3
+    assert kept.count() > 0

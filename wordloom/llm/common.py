@@ -53,7 +53,7 @@ def append_column(df: DataFrame, column: str, kind: str, name: str, work: Callab
     kept = [c for c in df.columns if c != name]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(name, T.StructType.fromDDL(f"x {kind}")[0].dataType)])
     arrow = to_arrow_schema(schema)
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias("__in"))
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias(free(df, "in")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = work()
@@ -65,13 +65,32 @@ def append_column(df: DataFrame, column: str, kind: str, name: str, work: Callab
     return rows.mapInArrow(run, schema)
 
 
-def kept_by(docs: DataFrame, decided: DataFrame, how: str, most: int = 500_000) -> DataFrame:
-    """docs joined with `decided` (doc_id, ...) on the id. The decisions are broadcast if they are few, counted first;
-    else both sides are shuffled."""
-    decided = materialise(decided)
+def free(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, f"__{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_columns(df: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df in the shared folder with a number for each row, and that column's name."""
+    name = free(df, "row")
+    return materialise(df.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def kept_by(docs: DataFrame, key: str, decided: DataFrame, how: str, most: int = 500_000) -> DataFrame:
+    """docs joined with `decided` on its first column = key; its other columns must have names of their own. The decisions are
+    broadcast if they are few, counted first; else both sides are shuffled."""
+    name = free(docs, "decided")
+    decided = materialise(decided.toDF(name, *decided.columns[1:]))
     few = decided.count() <= most
-    side = decided.withColumnRenamed("doc_id", "__id")
-    return docs.join(F.broadcast(side) if few else side, F.col("doc_id").eqNullSafe(F.col("__id")), how)
+    got = docs.join(F.broadcast(decided) if few else decided, F.col(f"`{key}`") == F.col(name), how)
+    return got.drop(name)
 
 
 def cut(batch: pa.RecordBatch, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
