@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wordloom.llm import ngram_join as nj
 from wordloom.llm.components import components
@@ -131,3 +132,45 @@ def test_components(spark):
 def test_query(spark, small):
     docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in nj.op9_signature_tree_join(spark, small).collect()) == brute(docs, 4, 85)
+
+
+def footer_corpus(n, seed=7):
+    """Short texts that link with nothing and end in the same six words."""
+    r = random.Random(seed)
+    return [(i, " ".join(f"w{r.randrange(100_000)}" for _ in range(r.randrange(6, 14))) + " all rights reserved by the author") for i in range(n)]
+
+
+def largest_region(spark, docs):
+    seen = nj.described(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 4, 85)
+    sizes = nj._regions(nj.rarest(seen), len(docs)).groupBy("region").count().agg(F.max("count")).first()[0]
+    return sizes or 0
+
+
+def test_a_common_footer_brings_nothing_together(spark):
+    assert max(largest_region(spark, footer_corpus(n)) for n in (2_000, 20_000)) <= 3
+
+
+def test_common_passages_with_copies(spark):
+    docs = footer_corpus(300)
+    docs += [(1000 + i, t.replace("w1", "x1")) for i, t in docs[:40]] + [(2000 + i, t) for i, t in docs[:20]]
+    got = sorted(tuple(r) for r in nj.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 4, 60).collect())
+    assert got == brute(docs, 4, 60)
+
+
+def test_strays_of_several_groups_in_a_large_region(spark, monkeypatch):
+    """Groups that share passages but don't link, each over LEAVES sets, some linked only through a chain of changes."""
+    monkeypatch.setattr(nj, "LEAVES", 6)
+    r = random.Random(11)
+    common = [f"c{k}" for k in range(120)]
+    docs = []
+    for g in range(4):
+        text = common[: 60 + 10 * g] + [f"g{g}_{k}" for k in range(60)]
+        for i in range(15):
+            if i % 3 == 0:
+                text = list(text)
+                text[r.randrange(len(text))] = f"n{g}_{i}"
+            docs.append((g * 100 + i, " ".join([*text, f"own{i % 5}"])))
+    r.shuffle(docs)
+    for percent in (60, 75):
+        got = sorted(tuple(x) for x in nj.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 4, percent).collect())
+        assert got == brute(docs, 4, percent)

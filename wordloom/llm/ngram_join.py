@@ -5,23 +5,25 @@ A text's set is its distinct word n-grams. Sets are made comparable in three ste
 1. Equal sets are met by a 128-bit hash and from then on stand for one another.
 2. Regions. For a linked pair of sizes a <= b the symmetric difference is at most d = (a + b)(1 - t) / (1 + t). The hash
    space is cut into k > d segments (k by class of size, neighbouring classes sharing one); a differing
-   n-gram spoils one segment, so whole segments of both are equal, and among each set's segments in the order
-   of most n-grams first, then hash, the first d + 1 must hold a common one (prefix filter). Empty segments
-   don't count; a set with so many that nothing is sure takes a signature shared by all such sets of its
-   class. Sets that share a signature are chained, and the chains' components are the regions: all links lie
-   inside regions.
+   n-gram spoils one segment, so whole segments of both are equal, and in any order of segments the first d + 1 of
+   each set's must hold a common one (prefix filter). Empty segments don't count; a set with so many that nothing is
+   sure takes a signature shared by all such sets of its class. This is done twice: once in an order that each
+   set knows by itself (most n-grams first, then hash), which drops the sets that share nothing, and among what is
+   left with the rarest segments first, so that a footer or passage that many texts share brings them together
+   only if they have hardly anything else. Sets that share a signature are linked to the smallest of them, and the components
+   of that are the regions: all links lie inside regions.
 3. Trees. The sets of a region are the leaves of a tree whose nodes hold OR-combined bitmaps of their n-grams, the range
    of sizes and the largest excess of a size over its bitmap's bits. A dual traversal from the root drops pairs of
    nodes whose sizes can't link, whose greatest possible overlap (common bits plus the smaller excess) is below
    what the sizes ask for, or which are all one component already; what is left is verified exactly.
 
 A region over LEAVES sets (or NGRAMS n-grams) is dealt to cells: each part with the region's first set, then, only
-if sets remain outside the first one's component, these against all parts. Copies and near copies of one
-text thus cost a linear amount of work.
+if sets remain outside the first one's component, these against the sets that they share a signature with. Copies and near
+copies of one text thus cost a linear amount of work.
 
 Cases: null, empty and blank texts have the empty set, link with nothing and are their own component; texts
 of fewer words than n are one n-gram; repeated rows and equal texts are one component; an empty table gives no
-rows; extra columns are not looked at. A document's id is its component when null ids meet: nulls are passed over.
+rows; extra columns, whatever their names, are not looked at; very long texts are one set each. A document's id is its component when null ids meet: nulls are passed over.
 """
 
 from __future__ import annotations
@@ -39,9 +41,9 @@ from wordloom.llm.common import map_rows, worker_state
 from wordloom.llm.components import components
 from wordloom.session import gathered, materialise, table
 
-LEAVES, NGRAMS = 4096, 4_000_000
+LEAVES, NGRAMS = 1024, 2_000_000
 FANOUT = 8
-#: Members of regions up to which their list is broadcast to the scan of the texts; beyond, it is a shuffle join.
+#: Rows up to which a list of sets is broadcast to the scan of all; beyond, it is a shuffle join.
 BROADCAST_ROWS = 500_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _EDGES = [6]
@@ -95,12 +97,13 @@ def differences(a: int, b: int, percent: int) -> int:
     return (a + b) * (100 - percent) // (100 + percent)
 
 
-def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
-    """What a set is met by: hashes of whole segments, d + 1 of them per class it has partners in."""
+def segments(grams: np.ndarray, percent: int) -> list[tuple[int, np.ndarray, int | None]]:
+    """What a set is met by, for each class of size that it has partners in: d, the hashes of its whole segments with those
+    of the d + 1 that have most n-grams first, and the shared signature, where no common segment is sure."""
     n, found = len(grams), []
     most = 100 * n // percent
     if differences(n, most, percent) < 1:
-        return np.empty(0, np.int64)
+        return found
     own = int(np.searchsorted(CLASSES, n))
     high, values = grams >> np.uint64(32), mix(grams ^ _M1)
     for c in (own, own + 1):
@@ -115,11 +118,17 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
         label = mix(np.add.reduceat(values, starts) + mix(segment[starts] * _M1 + np.uint64(c)))
         order = ((np.uint64(63) - np.minimum(counts, 63).astype(np.uint64)) << np.uint64(58)) | (label >> np.uint64(6))
         if len(label) > d + 1:
-            label = label[np.argpartition(order, d)[: d + 1]]
-        if len(starts) - d < 1:  # k - empty - d: no common segment is sure
-            label = np.concatenate((label, mix(np.array([c], np.uint64) + np.uint64(1 << 60))))
-        found.append(label)
-    return np.concatenate(found).view(np.int64)
+            label = label[np.argpartition(order, d)]
+        unsure = len(starts) - d < 1  # k - empty - d
+        shared = mix(np.array([c], np.uint64) + np.uint64(1 << 60)).view(np.int64)[0]
+        found.append((d, label.view(np.int64), int(shared) if unsure else None))
+    return found
+
+
+def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
+    """The signatures of a set in the order that it knows by itself."""
+    made = [np.concatenate((labels[: d + 1], np.array([] if shared is None else [shared], np.int64))) for d, labels, shared in segments(grams, percent)]
+    return np.concatenate(made) if made else np.empty(0, np.int64)
 
 
 # --- the tree -------------------------------------------------------------------------------------
@@ -281,30 +290,30 @@ def _cells(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
 
 
 def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, key1, key2, signatures of every document, in the shared folder. A set that a worker has
-    just seen leaves its signatures out."""
+    """doc_id, n_shingles, key1, key2 of every document, and by class of size (0: its own, 1: the next) d, segments,
+    shared, in the shared folder. A set that a worker has just seen leaves its segments out."""
     recent: set[int] = set()
 
     def run(x: dict) -> dict:
-        sizes, one, two, marks = [], [], [], []
+        out: dict[str, list] = {c: [] for c in ("n_shingles", "key1", "key2", "d0", "s0", "c0", "d1", "s1", "c1")}
         for text in x["text"]:
             grams = ngrams(text, n)
             a, b = set_key(grams) if len(grams) else (None, None)
-            sizes.append(len(grams))
-            one.append(a)
-            two.append(b)
-            if a is None or a in recent:
-                marks.append(None)
-                continue
-            if len(recent) > 200_000:
-                recent.clear()
-            recent.add(a)
-            marks.append(signatures(grams, percent))
-        return {"doc_id": x["doc_id"], "n_shingles": sizes, "key1": one, "key2": two, "signatures": marks}
+            row: list = [len(grams), a, b]
+            if a is not None and a not in recent:
+                if len(recent) > 200_000:
+                    recent.clear()
+                recent.add(a)
+                for found in segments(grams, percent):
+                    row += found
+            for c, v in zip(out, row + [None] * (9 - len(row))):
+                out[c].append(v)
+        return out | {"doc_id": x["doc_id"]}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return materialise(map_rows(rows, f"doc_id {kind}, n_shingles bigint, key1 bigint, key2 bigint, signatures array<bigint>", run, ["doc_id", "text"]))
+    schema = f"doc_id {kind}, n_shingles bigint, key1 bigint, key2 bigint, d0 int, s0 array<bigint>, c0 bigint, d1 int, s1 array<bigint>, c1 bigint"
+    return materialise(map_rows(rows, schema, run, ["doc_id", "text"]))
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -312,7 +321,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     seen = described(docs, n, percent)
     rows = seen.count()
     reps = materialise(seen.where("key1 is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), rows)
-    regions = _regions(seen, rows)
+    marks = rarest(seen)
+    regions = _regions(marks, rows)
     # sets that lie in a region; small regions are joined in one cell, larger ones are dealt to several
     members = materialise(reps.join(regions, "key1").select("region", "key1", F.col("rep").alias("doc_id"), "n"), rows)
     weights = members.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
@@ -323,7 +333,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     links = materialise(_cells(whole, docs, n, percent).select("a", "b"))
     large = dealt.where("parts > 1")
     if large.limit(1).count():
-        links = materialise(links.unionByName(_large(large, docs, n, percent)))
+        links = materialise(links.unionByName(_large(large, marks, docs, n, percent)))
     found = components(links, links.count())
     names = reps.join(found, F.col("key1") == F.col("node"), "left").select("key1", "key2", "rep", F.coalesce("component", "key1").alias("c"))
     least = names.groupBy("c").agg(F.min("rep").alias("component_id"))
@@ -332,16 +342,34 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     return gathered(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), rows)
 
 
-def _regions(seen: DataFrame, rows: int) -> DataFrame:
+def rarest(seen: DataFrame) -> DataFrame:
+    """key1, s: the signatures that bring sets together, in the shared folder. Every pair of linked sets shares one."""
+    x = seen.where("s0 is not null")
+    first = lambda k: F.concat(F.slice(f"s{k}", 1, F.col(f"d{k}") + 1), F.when(F.col(f"c{k}").isNotNull(), F.array(f"c{k}")).otherwise(F.array().cast("array<bigint>")))
+    own = x.select("key1", F.explode(F.concat(first(0), F.coalesce(first(1), F.array().cast("array<bigint>")))).alias("s"))
+    # a hot signature is summed up in each task first, and in the join AQE splits its rows
+    shared = own.groupBy("s").agg(F.min("key1").alias("lo"), F.max("key1").alias("hi")).where("lo < hi").select("s")
+    met = materialise(own.join(shared.hint("merge"), "s", "left_semi").select("key1").distinct())
+    n = met.count()
+    met = met.coalesce(max(1, min(met.rdd.getNumPartitions(), -(-n // 10_000))))
+    sets = materialise(x.join(F.broadcast(met) if n <= BROADCAST_ROWS else met, "key1", "left_semi").dropDuplicates(["key1"]).select("key1", "d0", "s0", "c0", "d1", "s1", "c1"))
+    by_class = sets.select("key1", F.lit(0).alias("k"), F.col("d0").alias("d"), F.explode("s0").alias("s")).unionByName(sets.where("s1 is not null").select("key1", F.lit(1).alias("k"), F.col("d1").alias("d"), F.explode("s1").alias("s")))
+    counted = by_class.join(by_class.groupBy("s").agg(F.count(F.lit(1)).alias("sets")).hint("merge"), "s")
+    place = F.row_number().over(W.partitionBy("key1", "k").orderBy("sets", "s"))  # a set's segments
+    found = counted.withColumn("place", place).where((F.col("place") <= F.col("d") + 1) & (F.col("sets") > 1)).select("key1", "s")
+    unsure = sets.where("c0 is not null").select("key1", F.col("c0").alias("s")).unionByName(sets.where("c1 is not null").select("key1", F.col("c1").alias("s")))
+    return materialise(found.unionByName(unsure))
+
+
+def _regions(marks: DataFrame, rows: int) -> DataFrame:
     """key1, region of sets that share a signature with another set, directly or through others."""
-    marks = seen.where("signatures is not null").select("key1", F.explode("signatures").alias("s"))
-    before = F.lag("key1").over(W.partitionBy("s").orderBy("key1"))
-    links = marks.select(before.alias("a"), F.col("key1").alias("b")).where("a is not null and a != b")
+    least = marks.groupBy("s").agg(F.min("key1").alias("a"))
+    links = marks.join(least.hint("merge"), "s").where("a < key1").select("a", F.col("key1").alias("b"))
     found = components(links, rows)
     return found.select(F.col("node").alias("key1"), F.col("component").alias("region")).unionByName(found.select("component", F.col("component").alias("region")).distinct().toDF("key1", "region"))
 
 
-def _large(large: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _large(large: DataFrame, marks: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Links of regions that are dealt to cells."""
     part = F.pmod(F.xxhash64("key1"), F.col("parts")).cast("int")
     x = large.withColumn("part", part)
@@ -352,19 +380,23 @@ def _large(large: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
     pivots = everywhere.select(cell("region", "part").alias("cell"), F.col("f.doc_id").alias("doc_id"), F.col("f.key1").alias("key1"), F.lit(True).alias("ask"))
     links = materialise(_cells(materialise(own.unionByName(pivots).distinct()), docs, n, percent).select("a", "b"))
     found = components(links)
-    known = x.join(found, F.col("key1") == F.col("node"), "left").select("region", "part", "parts", "key1", "doc_id", F.coalesce("component", "key1").alias("c"))
+    known = x.join(found, F.col("key1") == F.col("node"), "left").select("region", "n", "key1", "doc_id", F.coalesce("component", "key1").alias("c"))
     main = first.join(found, F.col("f.key1") == F.col("node"), "left").select(F.col("region").alias("r"), F.coalesce("component", "f.key1").alias("main"))
     known = materialise(known.join(main, F.col("region") == F.col("r")).withColumn("out", F.col("c") != F.col("main")).drop("r"))
-    stray = known.where("out")
-    if not stray.limit(1).count():
+    if not known.where("out").limit(1).count():
         return links
-    groups = stray.groupBy("region", "parts").agg(F.ceil(F.count(F.lit(1)) / LEAVES).cast("int").alias("groups"))
-    stray = stray.join(groups.select("region", "groups"), "region").withColumn("g", F.pmod(F.xxhash64("key1", F.lit(1)), F.col("groups")).cast("int"))
-    beside = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))
-    askers = stray.withColumn("p", beside).select(cell("region", "g", "p").alias("cell"), "doc_id", "key1", F.lit(True).alias("ask"))
-    others = known.join(groups.select("region", "groups"), "region").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    others = others.select(cell("region", "g", "part").alias("cell"), "doc_id", "key1", F.lit(False).alias("ask"))
-    rows = askers.unionByName(others).groupBy("cell", "doc_id", "key1").agg(F.max("ask").alias("ask"))
+    # what lies outside the first set's component against all that share a signature with it, signature by signature
+    met = marks.join(known.withColumnRenamed("key1", "key"), F.col("key1") == F.col("key")).select("s", "key1", "doc_id", "n", "c", "out")
+    size = lambda sets, grams: F.greatest(F.ceil(sets / LEAVES), F.ceil(grams / NGRAMS)).cast("int")
+    strays = F.when(F.col("out"), F.col("n"))
+    by = met.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), size(F.count_if("out"), F.sum(strays)).alias("groups"), size(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+    by = materialise(by.where("lo < hi and groups > 0").select("s", "groups", "parts"))
+    met = materialise(met.join(by, "s"))
+    group, part = F.pmod(F.xxhash64("key1", F.lit(1)), F.col("groups")).cast("int"), F.pmod(F.xxhash64("key1"), F.col("parts")).cast("int")
+    askers = met.where("out").withColumn("g", group).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    others = met.withColumn("p", part).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    rows = askers.select(cell("s", "g", "p").alias("cell"), "doc_id", "key1", F.lit(True).alias("ask")).unionByName(others.select(cell("s", "g", "p").alias("cell"), "doc_id", "key1", F.lit(False).alias("ask")))
+    rows = rows.groupBy("cell", "doc_id", "key1").agg(F.max("ask").alias("ask"))
     return links.unionByName(_cells(materialise(rows), docs, n, percent).select("a", "b"))
 
 
