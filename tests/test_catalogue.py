@@ -38,9 +38,14 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_whole_queries_read_every_line(spark, small):
+def test_queries_read_every_line(spark, small):
     lines = spark.read.parquet(f"{small}/lineitem.parquet")
-    sparse = [n for n, sql in ORACLE_SQL.items() if "l_quantity = 50" in sql]
-    assert len(sparse) == 14 and all("l_quantity" not in ORACLE_SQL[f"{n}_whole"] for n in sparse)
-    assert sum(r["score"] for r in QUERIES["score_gcf_whole"](spark, small).collect()) == lines.count()
-    assert sum(r["n_images"] for r in QUERIES["class_sizes_whole"](spark, small).collect()) == lines.select("l_orderkey").distinct().count()
+    assert not any("l_quantity" in sql for sql in ORACLE_SQL.values())
+    assert sum(r["score"] for r in QUERIES["score_gcf"](spark, small).collect()) == lines.count()
+    assert sum(r["n_images"] for r in QUERIES["class_sizes"](spark, small).collect()) == lines.select("l_orderkey").distinct().count()
+
+
+def test_sparse_classes_leave_cells_empty(spark, small):
+    rows = QUERIES["score_ced_sparse"](spark, small).collect()
+    assert sum(r["df"] == 0 for r in rows) > 100 < sum(r["df"] > 0 for r in rows)
+    assert all(r["score"] == 0 for r in rows if r["df"] <= 1)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions.vectors import l2_normalise
-from wordloom.operators import cluster, vocabulary
+from wordloom.operators import classify, cluster, vocabulary
 
 
 def points(spark, xs):
@@ -41,13 +41,54 @@ def test_cosine_words_are_directions(spark):
     assert near[0] != near[-1]
 
 
-def test_matrix_and_row_forms_agree(spark, monkeypatch):
+def test_assign_keeps_all_columns_and_agrees_with_plain_loops(spark, monkeypatch):
     r = np.random.default_rng(2)
-    d = points(spark, r.normal(size=(40, 6)))
-    words = spark.createDataFrame([(i, [float(v) for v in r.normal(size=6)]) for i in range(9)], "word_id int, center array<double>")
-    one = {x["image_id"]: x["word_id"] for x in vocabulary.assign(d, words).collect()}
-    monkeypatch.setattr(vocabulary, "ARRAY_WORDS", 1)
-    assert {x["image_id"]: x["word_id"] for x in vocabulary.assign(d, words).collect()} == one
+    xs = np.concatenate([r.normal(size=(40, 6)), np.zeros((1, 6))])
+    d = points(spark, xs).withColumn("note", F.concat(F.lit("n"), "image_id")).withColumn("word_id", F.lit("old"))
+    d = d.unionByName(spark.createDataFrame([("none", 0, None, "nnone", "old")], d.schema))
+    for n in (1, 9, 512, 513, 700):
+        m = r.normal(size=(n, 6))
+        m[n // 2] = m[0]  # a tie, which goes to the smaller id
+        words = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(m)], "word_id int, center array<double>").repartition(3)
+        for metric in ("euclidean", "cosine"):
+            unit = lambda v: v / max(np.linalg.norm(v), 1e-300) if metric == "cosine" else v  # noqa: B023, E731
+            want = {f"i{k}": min(range(n), key=lambda w: (round(float(((unit(np.float32(x).astype(float)) - unit(m[w])) ** 2).sum()), 9), w)) for k, x in enumerate(xs)}  # noqa: B023
+            for limit in (1 << 20, 16 * 6 * 8):  # one pass, and blocks of words
+                monkeypatch.setattr(vocabulary, "WORD_BYTES", limit if n < 100 else 1 << 20)
+                got = vocabulary.assign(d, words, metric, "d2").collect()
+                assert got[0].asDict().keys() == {"image_id", "local_idx", "vec", "note", "word_id", "d2"}
+                assert {x["image_id"]: x["word_id"] for x in got} == want | {"none": None}
+                assert all(x["note"] == "n" + x["image_id"] for x in got)
+                assert {x["image_id"]: x["vec"] for x in got}["i3"] == [float(np.float32(v)) for v in xs[3]]
+
+
+def test_a_seed_decides_the_vocabulary_however_rows_lie(spark):
+    r = np.random.default_rng(8)
+    d = points(spark, r.normal(size=(300, 4)))
+    centres = [np.array([x["center"] for x in vocabulary.build_vocabulary(p, 7, batch=b).orderBy("word_id").collect()]) for b in (None, 100) for p in (d.coalesce(1), d.repartition(5))]
+    assert centres[0] == pytest.approx(centres[1], abs=1e-9) and centres[2] == pytest.approx(centres[3], abs=1e-9)
+
+
+def test_k_means_rests_where_plain_rounds_do(spark):
+    r = np.random.default_rng(9)
+    xs = np.concatenate([r.normal(c, 0.5, (50, 3)) for c in np.eye(3) * 6])
+    c = np.array([x["center"] for x in vocabulary.build_vocabulary(points(spark, xs), 3).collect()])
+    x = xs.astype(np.float32).astype(float)
+    near = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+    assert np.stack([x[near == k].mean(axis=0) for k in range(3)]) == pytest.approx(c, abs=1e-2)
+
+
+@pytest.mark.parametrize("k", [1, 4, 50])
+def test_knn_against_all_pairs(spark, monkeypatch, k):
+    r = np.random.default_rng(10)
+    train = [(i, "ab"[i % 2], [float(v) for v in r.integers(0, 3, 3)]) for i in range(40)]
+    test = [(100 + i, "a", [float(v) for v in r.integers(0, 3, 3)]) for i in range(15)]
+    monkeypatch.setattr(classify, "KNN_BYTES", 8 * 3 * 11)  # several blocks
+    got = {x["image_id"]: x["predicted_label"] for x in classify.knn(*(spark.createDataFrame(t, "image_id long, label string, vec array<double>") for t in (train, test)), k).collect()}
+    for i, _, v in test:
+        near = sorted((round(sum((a - b) ** 2 for a, b in zip(v, u)), 9), j, lab) for j, lab, u in train)[:k]
+        votes = [lab for *_, lab in near]
+        assert got[i] == min(sorted(set(votes)), key=lambda lab: (-votes.count(lab), lab))
 
 
 def test_density_clusters(spark):

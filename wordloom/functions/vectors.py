@@ -26,13 +26,3 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def zeros(n: int) -> Column:
     return F.array_repeat(F.lit(0.0).cast("float"), n)
-
-
-def nearest_id(v: Column, centres: Column) -> Column:
-    """Id of the nearest of an array of (word_id, center) structs; equal distances (to 9 places) go to the smaller id.
-    The vector is bound to a lambda's variable, so it is made once and not for every centre."""
-
-    def best(u: Column) -> Column:
-        return F.array_min(F.transform(centres, lambda c: F.named_struct(F.lit("d"), F.round(squared_distance(u, c["center"]), 9), F.lit("w"), c["word_id"])))
-
-    return F.transform(F.array(wide(v)), best)[0]["w"]

@@ -12,27 +12,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from wordloom.functions.arrow import matrix, squared
+from wordloom.functions.vectors import wide
+
+#: Bytes of training vectors that a task holds at a time.
+KNN_BYTES = 16 << 20
+
+
+def _near(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
+    """image_id, true_label, d, t_id, t_label: the k nearest training rows of every test row in every block of training rows.
+    Both sides are dealt to a grid of cells; a cell holds its training rows as a matrix, test rows stream by."""
+    spark = train.sparkSession
+    dim, n, m = (train.select(F.size("vec")).first() or [1])[0], train.count(), test.count()
+    rows = max(1, KNN_BYTES // (8 * max(1, dim)))
+    blocks = max(1, -(-n // rows))
+    groups = max(-(-m // rows), -(-2 * spark.sparkContext.defaultParallelism // blocks), 1)
+    side = lambda df, own, others, is_test, cell: df.select(F.lit(is_test).alias("is_test"), F.col("image_id").alias("id"), F.col("label"), wide(F.col("vec")).alias("vec"), F.pmod(F.xxhash64("image_id"), F.lit(own)).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("other")).select(cell.alias("cell"), "is_test", "id", "label", "vec").where("vec is not null")
+    both = side(train, blocks, groups, 0, F.col("own") * groups + F.col("other")).unionByName(side(test, groups, blocks, 1, F.col("other") * groups + F.col("own")))
+    dealt = both.repartition(min(blocks * groups, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4), "cell").sortWithinPartitions("cell", "is_test")
+    schema = f"image_id {test.schema['image_id'].dataType.simpleString()}, true_label {test.schema['label'].dataType.simpleString()}, d double, t_id {train.schema['image_id'].dataType.simpleString()}, t_label {train.schema['label'].dataType.simpleString()}"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
-from wordloom.functions.vectors import squared_distance, wide
-
-#: Training rows that are broadcast to the queries' tasks at most; more are joined block by block.
-KNN_BROADCAST = 200_000
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, known = None, [], None
+        for batch in batches:
+            cell, is_test = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, labels, x = batch.column(2).to_pylist(), batch.column(3).to_pylist(), matrix(batch.column(4))
+            edges = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (is_test[1:] != is_test[:-1]), [True])))
+            out: list[tuple] = []
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if cell[s] != now:
+                    now, held, known = cell[s], [], None
+                if not is_test[s]:
+                    held.append((x[s:e], ids[s:e], labels[s:e]))
+                elif held:
+                    if known is None:
+                        a = np.concatenate([h[0] for h in held])
+                        known = a, (a * a).sum(axis=1), [i for h in held for i in h[1]], [v for h in held for v in h[2]]
+                    for at in range(s, e, 256):
+                        out += _block(x[at : min(at + 256, e)], ids[at:e], labels[at:e], known, k)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(arrow)], schema=arrow)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _block(x: np.ndarray, ids: list, labels: list, known: tuple, k: int) -> list[tuple]:
+    """The product selects, the distances themselves decide."""
+    a, norms, t_ids, t_labels = known
+    d, error = squared(x, a, norms)
+    kth = np.partition(d, min(k, len(a)) - 1, axis=1)[:, min(k, len(a)) - 1]
+    out = []
+    for r in range(len(x)):
+        few = np.flatnonzero(d[r] <= kth[r] + 2 * error[r] + 2e-9)
+        exact = np.round(((x[r] - a[few]) ** 2).sum(axis=1), 9).tolist()
+        out += [(ids[r], labels[r], v, i, t_labels[j]) for v, i, j in sorted(zip(exact, [t_ids[j] for j in few], few.tolist()))[:k]]
+    return out
 
 
 def knn(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     """Majority of the k nearest training rows; distances count to 9 places, ties go to the smaller id, then votes to
-    the smaller label. Training rows are cut into blocks; each block keeps its k best, so no task sees all pairs."""
-    n = train.count()
-    blocks = max(1, -(-n // KNN_BROADCAST))
-    t = train.select(F.col("image_id").alias("t_id"), F.col("label").alias("t_label"), wide(F.col("vec")).alias("t_vec"))
-    best = None
+    the smaller label. Each block of training rows keeps its k best, so no task sees all pairs."""
     order = W.partitionBy("image_id").orderBy("d", "t_id")
-    for b in range(blocks):
-        block = t if blocks == 1 else t.where(F.pmod(F.xxhash64("t_id"), F.lit(blocks)) == b)
-        d = F.round(squared_distance(F.col("vec"), F.col("t_vec")), 9)
-        one = test.join(F.broadcast(block)).select("image_id", F.col("label").alias("true_label"), d.alias("d"), "t_id", "t_label")
-        one = one.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-        best = one if best is None else best.unionByName(one)
+    best = _near(train, test, k)
     votes = best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy("image_id", "true_label", "t_label").agg(F.count(F.lit(1)).alias("v"))
     tops = votes.groupBy("image_id", "true_label").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("v")).alias("v"), F.col("t_label").alias("l")))).alias("votes"),

@@ -28,17 +28,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def query_of_lines(name: str, sql: str):
-    """Two queries of one function: `name`, over the sparse view that its SQL names, and `name`_whole, over every line."""
-
-    def add(fn: Callable[..., DataFrame]):
-        query(name, sql)(fn)
-        query(f"{name}_whole", sql.replace(C.SPARSE, C.DENSE))(lambda spark, d: fn(spark, d, sparse=False))
-        return fn
-
-    return add
-
-
 def _r(column: str, places: int = 6):
     return F.round(column, places).alias(column)
 
@@ -46,15 +35,15 @@ def _r(column: str, places: int = 6):
 # --- corpus A: class statistics, scores, selections ---------------------------------------------------
 
 
-def _a(spark: SparkSession, d: str, sparse: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _a(spark: SparkSession, d: str, sparse: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     occ = stats.occurrence(C.order_words(spark, d, sparse))
-    labels = C.order_labels(spark, d)
+    labels = C.order_labels(spark, d, sparse)
     return occ, labels, stats.densified(stats.class_word(occ, labels), stats.class_size(occ, labels))
 
 
 @query("flagship_top_words", f"WITH {C.DENSE}, {C.STATS}, {C.SCORES}, {C.RANKED} SELECT strategy, class, word_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10")
 def flagship_top_words(spark, d):
-    return selection.select_top_n(selection.scores(_a(spark, d, False)[2]), 10).select("strategy", "class", "word_id", "rank", _r("score"))
+    return selection.select_top_n(selection.scores(_a(spark, d)[2]), 10).select("strategy", "class", "word_id", "rank", _r("score"))
 
 
 @query("occurrence", f"WITH {C.DENSE} SELECT * FROM occ")
@@ -67,64 +56,71 @@ def class_word_stats(spark, d):
     return stats.class_word(stats.occurrence(C.order_words(spark, d)), C.order_labels(spark, d)).drop("flogf")
 
 
-@query_of_lines("class_sizes", f"WITH {C.SPARSE}, {C.STATS} SELECT * FROM cs")
-def class_sizes(spark, d, sparse=True):
-    return stats.class_size(stats.occurrence(C.order_words(spark, d, sparse)), C.order_labels(spark, d))
+@query("class_sizes", f"WITH {C.DENSE}, {C.STATS} SELECT * FROM cs")
+def class_sizes(spark, d):
+    return stats.class_size(stats.occurrence(C.order_words(spark, d)), C.order_labels(spark, d))
 
 
-@query_of_lines("df_rho_out_of_class", f"WITH {C.SPARSE}, {C.STATS} SELECT class, word_id, df_out, n_out, round(df_out / greatest(n_out, 1)::DOUBLE, 6) AS rho_out FROM (SELECT class, word_id, (sum(df) OVER w - df)::BIGINT AS df_out, (sum(n_images) OVER w - n_images)::BIGINT AS n_out FROM dense WINDOW w AS (PARTITION BY word_id))")
-def df_rho_out_of_class(spark, d, sparse=True):
-    return stats.out_of_class(_a(spark, d, sparse)[2]).select("class", "word_id", "df_out", "n_out", _r("rho_out"))
+@query("df_rho_out_of_class", f"WITH {C.DENSE}, {C.STATS} SELECT class, word_id, df_out, n_out, round(df_out / greatest(n_out, 1)::DOUBLE, 6) AS rho_out FROM (SELECT class, word_id, (sum(df) OVER w - df)::BIGINT AS df_out, (sum(n_images) OVER w - n_images)::BIGINT AS n_out FROM dense WINDOW w AS (PARTITION BY word_id))")
+def df_rho_out_of_class(spark, d):
+    return stats.out_of_class(_a(spark, d)[2]).select("class", "word_id", "df_out", "n_out", _r("rho_out"))
 
 
-@query_of_lines("classes_containing_word", f"WITH {C.SPARSE}, {C.STATS} SELECT word_id, count(*) AS n_classes FROM cw GROUP BY 1")
-def classes_containing_word(spark, d, sparse=True):
-    occ, labels, _ = _a(spark, d, sparse)
+@query("classes_containing_word", f"WITH {C.DENSE}, {C.STATS} SELECT word_id, count(*) AS n_classes FROM cw GROUP BY 1")
+def classes_containing_word(spark, d):
+    occ, labels, _ = _a(spark, d)
     return stats.classes_containing(stats.class_word(occ, labels))
 
 
 def _scored(name: str):
-    @query_of_lines(f"score_{name.lower()}", f"WITH {C.SPARSE}, {C.STATS}, {C.SCORES} SELECT class, word_id, round(score, 6) AS score FROM scores WHERE strategy = '{name}'")
-    def run(spark, d, sparse=True):
-        return selection.scores(_a(spark, d, sparse)[2], [name]).select("class", "word_id", _r("score"))
+    @query(f"score_{name.lower()}", f"WITH {C.DENSE}, {C.STATS}, {C.SCORES} SELECT class, word_id, round(score, 6) AS score FROM scores WHERE strategy = '{name}'")
+    def run(spark, d):
+        return selection.scores(_a(spark, d)[2], [name]).select("class", "word_id", _r("score"))
 
 
 for _name in ("GCF", "ICC", "CED"):
     _scored(_name)
 
 
-def _selected(spark, d, n=TOP, sparse=True):
-    return selection.select_top_n(selection.scores(_a(spark, d, sparse)[2]), n)
+@query("score_ced_sparse", f"WITH {C.SPARSE}, {C.STATS}, {C.SCORES} SELECT class, word_id, n_images, df, round(score, 6) AS score FROM scores JOIN dense USING (class, word_id) WHERE strategy = 'CED'")
+def score_ced_sparse(spark, d):
+    """Classes and words that leave many cells empty: zero padding, words of one image or one class."""
+    dense = _a(spark, d, sparse=True)[2]
+    return selection.scores(dense, ["CED"]).join(dense.select("class", "word_id", "n_images", "df"), ["class", "word_id"]).select("class", "word_id", "n_images", "df", _r("score"))
+
+
+def _selected(spark, d, n=TOP):
+    return selection.select_top_n(selection.scores(_a(spark, d)[2]), n)
 
 
-@query_of_lines("select_top_n", f"WITH {C.SPARSE}, {C.STATS}, {C.SCORES}, {C.RANKED} SELECT strategy, class, word_id, rank FROM ranked WHERE rank <= {TOP}")
-def select_top_n(spark, d, sparse=True):
-    return _selected(spark, d, sparse=sparse).select("strategy", "class", "word_id", "rank")
+@query("select_top_n", f"WITH {C.DENSE}, {C.STATS}, {C.SCORES}, {C.RANKED} SELECT strategy, class, word_id, rank FROM ranked WHERE rank <= {TOP}")
+def select_top_n(spark, d):
+    return _selected(spark, d).select("strategy", "class", "word_id", "rank")
 
 
-@query_of_lines("select_union", f"WITH {C.SPARSE}, {C.STATS}, {C.SCORES}, {C.RANKED} SELECT DISTINCT strategy, word_id FROM ranked WHERE rank <= {TOP}")
-def select_union(spark, d, sparse=True):
-    return selection.union_vocabulary(_selected(spark, d, sparse=sparse))
+@query("select_union", f"WITH {C.DENSE}, {C.STATS}, {C.SCORES}, {C.RANKED} SELECT DISTINCT strategy, word_id FROM ranked WHERE rank <= {TOP}")
+def select_union(spark, d):
+    return selection.union_vocabulary(_selected(spark, d))
 
 
-@query_of_lines("select_overlap", f"WITH {C.SPARSE}, {C.STATS}, {C.SCORES}, {C.RANKED} SELECT strategy, word_id FROM ranked WHERE rank <= {TOP} AND class = 'BUILDING' INTERSECT SELECT strategy, word_id FROM ranked WHERE rank <= {TOP} AND class = 'MACHINERY'")
-def select_overlap(spark, d, sparse=True):
-    return selection.overlap(materialise(_selected(spark, d, sparse=sparse).select("strategy", "class", "word_id")), "BUILDING", "MACHINERY")
+@query("select_overlap", f"WITH {C.DENSE}, {C.STATS}, {C.SCORES}, {C.RANKED} SELECT strategy, word_id FROM ranked WHERE rank <= {TOP} AND class = 'BUILDING' INTERSECT SELECT strategy, word_id FROM ranked WHERE rank <= {TOP} AND class = 'MACHINERY'")
+def select_overlap(spark, d):
+    return selection.overlap(materialise(_selected(spark, d).select("strategy", "class", "word_id")), "BUILDING", "MACHINERY")
 
 
 _UNION5 = "chosen AS (SELECT DISTINCT word_id FROM ranked WHERE strategy = 'CED' AND rank <= 5)"
 
 
-@query_of_lines("masked_histogram_zero", f"WITH {C.SPARSE}, {C.STATS}, {C.SCORES}, {C.RANKED}, {_UNION5} SELECT i.image_id, w.word_id, coalesce(f, 0) AS f FROM (SELECT DISTINCT image_id FROM occ) i CROSS JOIN (SELECT DISTINCT word_id FROM occ) w LEFT JOIN (SELECT * FROM occ WHERE word_id IN (SELECT word_id FROM chosen)) o ON o.image_id = i.image_id AND o.word_id = w.word_id")
-def masked_histogram_zero(spark, d, sparse=True):
-    occ, _, dense = _a(spark, d, sparse)
+@query("masked_histogram_zero", f"WITH {C.DENSE}, {C.STATS}, {C.SCORES}, {C.RANKED}, {_UNION5} SELECT i.image_id, w.word_id, coalesce(f, 0) AS f FROM (SELECT DISTINCT image_id FROM occ) i CROSS JOIN (SELECT DISTINCT word_id FROM occ) w LEFT JOIN (SELECT * FROM occ WHERE word_id IN (SELECT word_id FROM chosen)) o ON o.image_id = i.image_id AND o.word_id = w.word_id")
+def masked_histogram_zero(spark, d):
+    occ, _, dense = _a(spark, d)
     chosen = selection.select_top_n(selection.scores(dense, ["CED"]), 5)
     return stats.masked_zero(occ, chosen, occ)
 
 
-@query_of_lines("masked_histogram_compact", f"WITH {C.SPARSE}, {C.STATS}, {C.SCORES}, {C.RANKED}, {_UNION5} SELECT image_id, dim, f FROM occ JOIN (SELECT word_id, (row_number() OVER (ORDER BY word_id) - 1)::INTEGER AS dim FROM chosen) USING (word_id)")
-def masked_histogram_compact(spark, d, sparse=True):
-    occ, _, dense = _a(spark, d, sparse)
+@query("masked_histogram_compact", f"WITH {C.DENSE}, {C.STATS}, {C.SCORES}, {C.RANKED}, {_UNION5} SELECT image_id, dim, f FROM occ JOIN (SELECT word_id, (row_number() OVER (ORDER BY word_id) - 1)::INTEGER AS dim FROM chosen) USING (word_id)")
+def masked_histogram_compact(spark, d):
+    occ, _, dense = _a(spark, d)
     return stats.masked_compact(occ, selection.select_top_n(selection.scores(dense, ["CED"]), 5))
 
 
@@ -135,20 +131,20 @@ def _allocated(total: str, group: str, score: str, source: str, bucket: str = "w
     return f"""SELECT *, (base + CASE WHEN row_number() OVER (PARTITION BY {group} ORDER BY round(share - base, 9) DESC, {bucket}) <= {total} - sum(base) OVER (PARTITION BY {group}) THEN 1 ELSE 0 END)::BIGINT AS {name} FROM (SELECT *, floor(share) AS base FROM (SELECT *, CASE WHEN sum({score}) OVER (PARTITION BY {group}) > 0 THEN {total} * {score} / sum({score}) OVER (PARTITION BY {group}) ELSE {total} / (count(*) OVER (PARTITION BY {group}))::DOUBLE END AS share FROM {source}))"""
 
 
-@query_of_lines("allocate_proportional", f"WITH {C.SPARSE}, {C.STATS}, {C.SCORES}, {C.RANKED} SELECT strategy, class, word_id, n FROM ({_allocated('1003', 'strategy, class', 'score', '(SELECT * FROM ranked WHERE rank <= 8)')})")
-def allocate_proportional(spark, d, sparse=True):
-    return allocation.allocate(_selected(spark, d, 8, sparse), ["strategy", "class"], "word_id", "score", F.lit(1003)).select("strategy", "class", "word_id", "n")
+@query("allocate_proportional", f"WITH {C.DENSE}, {C.STATS}, {C.SCORES}, {C.RANKED} SELECT strategy, class, word_id, n FROM ({_allocated('1003', 'strategy, class', 'score', '(SELECT * FROM ranked WHERE rank <= 8)')})")
+def allocate_proportional(spark, d):
+    return allocation.allocate(_selected(spark, d, 8), ["strategy", "class"], "word_id", "score", F.lit(1003)).select("strategy", "class", "word_id", "n")
 
 
-@query_of_lines("allocate_uniform_fallback", f"WITH {C.SPARSE}, {C.STATS}, {C.SCORES}, {C.RANKED} SELECT strategy, class, word_id, n FROM ({_allocated('1003', 'strategy, class', 'zero', '(SELECT *, 0.0::DOUBLE AS zero FROM ranked WHERE rank <= 7)')})")
-def allocate_uniform_fallback(spark, d, sparse=True):
-    x = _selected(spark, d, 7, sparse).withColumn("zero", F.lit(0.0))
+@query("allocate_uniform_fallback", f"WITH {C.DENSE}, {C.STATS}, {C.SCORES}, {C.RANKED} SELECT strategy, class, word_id, n FROM ({_allocated('1003', 'strategy, class', 'zero', '(SELECT *, 0.0::DOUBLE AS zero FROM ranked WHERE rank <= 7)')})")
+def allocate_uniform_fallback(spark, d):
+    x = _selected(spark, d, 7).withColumn("zero", F.lit(0.0))
     return allocation.allocate(x, ["strategy", "class"], "word_id", "zero", F.lit(1003)).select("strategy", "class", "word_id", "n")
 
 
-@query_of_lines("cyclic_pick", f"WITH {C.SPARSE}, {C.STATS}, {C.SCORES}, {C.RANKED}, m AS (SELECT class, word_id, rank FROM ranked WHERE strategy = 'GCF' AND rank <= 7) SELECT c.class, slot, word_id FROM (SELECT DISTINCT class FROM m) c CROSS JOIN range(30) t(slot) JOIN m ON m.class = c.class AND m.rank = slot % 7 + 1")
-def cyclic_pick(spark, d, sparse=True):
-    m = materialise(selection.select_top_n(selection.scores(_a(spark, d, sparse)[2], ["GCF"]), 7).select("class", "word_id", F.col("rank").alias("member_rank")))
+@query("cyclic_pick", f"WITH {C.DENSE}, {C.STATS}, {C.SCORES}, {C.RANKED}, m AS (SELECT class, word_id, rank FROM ranked WHERE strategy = 'GCF' AND rank <= 7) SELECT c.class, slot, word_id FROM (SELECT DISTINCT class FROM m) c CROSS JOIN range(30) t(slot) JOIN m ON m.class = c.class AND m.rank = slot % 7 + 1")
+def cyclic_pick(spark, d):
+    m = materialise(selection.select_top_n(selection.scores(_a(spark, d)[2], ["GCF"]), 7).select("class", "word_id", F.col("rank").alias("member_rank")))
     return allocation.pick_cyclic(m.select("class").distinct().withColumn("n", F.lit(30).cast("bigint")), m, ["class"]).select("class", "slot", "word_id")
 
 

@@ -1,7 +1,7 @@
 """Views of the driver's tables as corpora of images, words and classes.
 
-A: an order is an image, its parts' sizes are words, the customer's segment is the class; `sparse` keeps returned lines
-of quantity 50, which leaves many classes without a word. B: eight consecutive vectors of a label are an image, their
+A: an order is an image, its parts' sizes are words, the customer's segment is the class; `sparse`: parts are words and the
+customer's nation is the class, which leaves many classes without a word. B: eight consecutive vectors of a label are an image, their
 places its positions, the label the class; the first vectors are the words. P: predictions made from vector ids.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wordloom.functions.vectors import l2_normalise, wide
+from wordloom.functions.vectors import wide
 from wordloom.operators import vocabulary
 from wordloom.session import table
 
@@ -19,15 +19,15 @@ WORDS = 16
 
 
 def order_words(spark: SparkSession, d: str, sparse: bool = False) -> DataFrame:
-    lines = table(spark, d, "lineitem")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), "l_partkey")
     if sparse:
-        lines = lines.where("l_quantity = 50 and l_returnflag = 'R'")
+        return lines.withColumnRenamed("l_partkey", "word_id")
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("word_id"))
-    return lines.select(F.col("l_orderkey").alias("image_id"), "l_partkey").join(part, "l_partkey").select("image_id", "word_id")
+    return lines.join(part, "l_partkey").select("image_id", "word_id")
 
 
-def order_labels(spark: SparkSession, d: str) -> DataFrame:
-    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("class"))
+def order_labels(spark: SparkSession, d: str, sparse: bool = False) -> DataFrame:
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey" if sparse else "c_mktsegment").alias("class"))
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"), "o_custkey").join(customers, "o_custkey").select("image_id", "class")
 
 
@@ -52,10 +52,9 @@ def seeds(spark: SparkSession, d: str, k: int = WORDS) -> DataFrame:
 def assignments(spark: SparkSession, d: str) -> DataFrame:
     """image_id, local_idx, cluster_id, prob: the nearest word, and the cosine to it, none below 0; rows below 0.05 are noise
     and left out."""
-    near = vocabulary.assign(vectors(spark, d), seeds(spark, d))
-    cosine = F.aggregate(F.zip_with(l2_normalise(F.col("vec")), l2_normalise(F.col("center")), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    x = near.join(F.broadcast(seeds(spark, d)), "word_id").withColumn("prob", F.greatest(F.lit(0.0), F.round(cosine, 6)))
-    return x.where("prob >= 0.05").select("image_id", "local_idx", F.col("word_id").alias("cluster_id"), "prob", "class", "vec_id")
+    near = vocabulary.assign(vectors(spark, d), seeds(spark, d), measure="cosine")
+    x = near.withColumn("prob", F.greatest(F.lit(0.0), F.round("cosine", 6))).withColumnRenamed("word_id", "cluster_id")
+    return x.where("prob >= 0.05").select("image_id", "local_idx", "cluster_id", "prob", "class", "vec_id")
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -69,10 +68,10 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
 
 # --- the same in SQL ----------------------------------------------------------------------------------
 
-A = """labels AS (SELECT o_orderkey AS image_id, c_mktsegment AS class FROM orders JOIN customer ON o_custkey = c_custkey),
-occ AS (SELECT l_orderkey AS image_id, p_size AS word_id, count(*) AS f FROM lineitem JOIN part ON l_partkey = p_partkey {where} GROUP BY ALL)"""
-SPARSE = A.format(where="WHERE l_quantity = 50 AND l_returnflag = 'R'")
-DENSE = A.format(where="")
+DENSE = """labels AS (SELECT o_orderkey AS image_id, c_mktsegment AS class FROM orders JOIN customer ON o_custkey = c_custkey),
+occ AS (SELECT l_orderkey AS image_id, p_size AS word_id, count(*) AS f FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
+SPARSE = """labels AS (SELECT o_orderkey AS image_id, c_nationkey AS class FROM orders JOIN customer ON o_custkey = c_custkey),
+occ AS (SELECT l_orderkey AS image_id, l_partkey AS word_id, count(*) AS f FROM lineitem GROUP BY ALL)"""
 STATS = """cw AS (SELECT class, word_id, sum(f)::BIGINT AS freq, count(*) AS df, sum(f * log2(f)) AS flogf FROM occ JOIN labels USING (image_id) GROUP BY ALL),
 cs AS (SELECT c.class, coalesce(n, 0) AS n_images FROM (SELECT DISTINCT class FROM labels) c LEFT JOIN (SELECT class, count(DISTINCT image_id) AS n FROM occ JOIN labels USING (image_id) GROUP BY 1) s USING (class)),
 dense AS (SELECT cs.class, w.word_id, cs.n_images, coalesce(freq, 0) AS freq, coalesce(df, 0) AS df, coalesce(flogf, 0) AS flogf FROM cs CROSS JOIN (SELECT DISTINCT word_id FROM cw) w LEFT JOIN cw ON cw.class = cs.class AND cw.word_id = w.word_id)"""
