@@ -1,4 +1,6 @@
+import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from wordloom.llm import spm
 from wordloom.llm.common import vocabulary_path
@@ -8,8 +10,8 @@ HARD = ["", " ", "  a  b ", "\n\n x", "日本語 text 🎉\u200b", "a\tb", "<0x0
 
 def test_parity_on_hard_texts():
     path = vocabulary_path("piece_bpe_32k.model")
-    judge, codec = sentencepiece.SentencePieceProcessor(model_file=path), spm.Codec(path)
-    for t in [*HARD, "▁▁a ▁b"]:
+    judge, codec = sentencepiece.SentencePieceProcessor(model_file=path), spm.Codec(path, 1)
+    for t in [*HARD, "▁▁a ▁b", "\n\nx\n y", "\n", " \n ", "  "]:
         ids = codec.encode([t])[0]
         assert ids.tolist() == judge.encode(t)
         assert codec.decode(ids) == judge.decode(ids.tolist())
@@ -52,6 +54,26 @@ def test_unigram_model(tmp_path):
         assert codec.encode([t])[0].tolist() == judge.encode(t), t
 
 
+def test_every_chunk_is_judged_when_it_is_encoded(monkeypatch):
+    """One wrong chunk anywhere in a text fails, whichever text it is in."""
+    path = vocabulary_path("piece_bpe_32k.model")
+    right = spm.Codec._ids
+    for bad in ("▁zebra", "after\tfeed", "▁▁two"):
+        monkeypatch.setattr(spm.Codec, "_ids", lambda self, texts, bad=bad: (ids + [5] if w == bad else ids for w, ids in zip(texts, right(self, texts))))
+        codec = spm.Codec(path, 10**9)
+        codec.encode(["first text", "second text", "third text"])
+        with pytest.raises(ValueError, match="no parity"):
+            codec.encode(["a fine text", "lines\nafter\tfeed and  two zebra ends"])
+
+
+def test_library_decoder_agrees():
+    codec = spm.Codec(vocabulary_path("piece_bpe_32k.model"))
+    core = codec.model.tokenizer()
+    for t in HARD[2:]:
+        ids = codec.encode([t])[0]
+        assert core.decode(ids.tolist(), skip_special_tokens=False) == codec.decode(ids)
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(1, "hello world", 0), (2, None, 0), (3, "", 0), (1, "hello world", 0)], "doc_id long, text string, piece_ids int")
     made = spm.encode_texts(df, verify_every=1)
@@ -63,8 +85,13 @@ def test_columns(spark):
 
 
 def test_query(spark, small):
+    """Every id of every document is the library's."""
     judge = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model"))
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    judged = spark.createDataFrame([(i, judge.encode(t)) for i, t in texts.items()], "doc_id long, ids array<int>")
+    hashes = {r["doc_id"]: r["h"] for r in judged.select("doc_id", F.xxhash64("ids").alias("h")).collect()}
     got = spm.op6_sentencepiece(spark, small).collect()
     assert len(got) == len(texts)
-    assert all(r["round_trip"] and r["n_pieces"] == len(judge.encode(texts[r["doc_id"]])) for r in got)
+    for r in got:
+        assert r["round_trip"] and r["pieces_hash"] == hashes[r["doc_id"]]
+        assert r["decoded_bytes"] == len(texts[r["doc_id"]].encode())
