@@ -83,6 +83,18 @@ def test_queries_of_tiny_lists_get_k_answers(spark, monkeypatch):
     assert all(len({i for i, _ in a}) == 5 and q not in {i for i, _ in a} for q, a in got.items())
 
 
+@pytest.mark.parametrize("seed", [5, 7])
+def test_a_few_vectors_opposite_a_blob_get_k_answers(spark, seed):
+    r = np.random.default_rng(seed)
+    axis = r.normal(size=16)
+    rows = [(i, f32(axis + 0.3 * r.normal(size=16))) for i in range(396)] + [(1000 + i, f32(-axis + 0.01 * r.normal(size=16))) for i in range(4)]
+    queries = {1000, 1001, 1002, 1003, 0, 50}
+    got, want = run(spark, rows, queries), brute(rows, queries)
+    assert {q: len(a) for q, a in got.items()} == dict.fromkeys(queries, 5)
+    for q in (1000, 1001, 1002, 1003):
+        assert {i for i, _ in got[q][:3]} == {i for i, _ in want[q][:3]}
+
+
 def test_graph_search_finds_the_nearest_lists():
     r = np.random.default_rng(2)
     x = r.normal(size=(9000, 12)).astype(np.float32)

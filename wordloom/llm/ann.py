@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by balanced posting lists (Chen et al. 2021, SPANN).
 
-On a sample of at most SAMPLE vectors (first by a hash of their ids), balanced bisection followed by Lloyd rounds
+On a sample of at most SAMPLE vectors and SAMPLE_BYTES (first by a hash of their ids), balanced bisection followed by Lloyd rounds
 that charge for full lists gives the centroids; each points to near and to random others, and a best-first
 search over that graph finds a query's nearest centroids in memory. Every vector is put in its nearest list
 and, near a boundary, in up to REPLICAS - 1 more: those not over CLOSURE times as far, unless a list that it
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import map_rows
 from wordloom.session import materialise, table
 
-SAMPLE, LIST_SHARE, MOST_LISTS = 20_000, 100, 4096
+SAMPLE, SAMPLE_BYTES, LIST_SHARE, MOST_LISTS = 20_000, 128 << 20, 100, 4096
 REPLICAS, CLOSURE, RATIO, LIST_ROWS = 4, 1.3, 1.4, 2048
 NEAR, FAR = 12, 4
 
@@ -152,7 +152,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     def answers(asked: DataFrame, everywhere: bool) -> DataFrame | None:
         found = None
         for d in sizes:
-            one = _nearest(rows.where(F.size("vector") == d), asked.where(F.size("vector") == d), k, everywhere)
+            one = _nearest(rows.where(F.size("vector") == d), asked.where(F.size("vector") == d), d, k, everywhere)
             found = one if found is None else found.unionByName(one)
         return found
 
@@ -168,12 +168,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _nearest(rows: DataFrame, queries: DataFrame, k: int, everywhere: bool) -> DataFrame:
+def _nearest(rows: DataFrame, queries: DataFrame, dim: int, k: int, everywhere: bool) -> DataFrame:
     mark = F.xxhash64("vector")
     few = rows.distinct().withColumn("n", F.row_number().over(W.partitionBy(mark, "vector").orderBy("id"))).where(F.col("n") <= k + 1)
     entries = materialise(few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")))  # k + 1 ids at most
     total = entries.count()
-    sample = entries.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(SAMPLE).select("vector").toArrow()
+    sample = entries.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(max(64, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))).select("vector").toArrow()
     index = Index(_stack(sample.column(0).combine_chunks()), total)
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(index)

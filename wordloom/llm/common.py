@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -101,15 +102,18 @@ def cut(batch: pa.RecordBatch, most_bytes: int = 2 << 20) -> Iterator[pa.RecordB
         yield batch.slice(at, step)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = 3000) -> list[tuple[int, int, str]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = 3000, most_bytes: int = 48 << 20) -> list[tuple[int, int, str]]:
     """(bucket, label, text) of a bounded sample of labelled rows to learn from: per label at most `per_class`
-    documents, first by a hash of the id, none of bucket 0. Null labels, ids and texts don't count; of several
-    labels for an id the largest does. What reaches the driver is bounded by 2 * per_class whole texts."""
+    documents and `most_bytes` of text, first by a hash of the id, none of bucket 0. Null labels, ids and texts don't
+    count; of several labels for an id the largest does, of several texts the smallest. What reaches the driver is bounded
+    by twice both."""
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).where("__id is not null and __label in (0, 1)").where(bucket_of("__id") != 0)
     picked = [known.where(F.col("__label") == v).groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for v in (0, 1)]
     few = picked[0].unionByName(picked[1]).groupBy("__id").agg(F.max("__label").alias("__label"))
     text = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text")).where("__text is not null")
-    rows = text.join(F.broadcast(few), "__id").select(bucket_of("__id").cast("int"), "__label", "__text").collect()  # at most 2 * per_class ids are broadcast
+    found = text.join(F.broadcast(few), "__id").groupBy("__id", "__label").agg(F.min("__text").alias("__text"))  # at most 2 * per_class ids are broadcast
+    upto = F.sum(F.octet_length("__text")).over(W.partitionBy("__label").orderBy(F.xxhash64("__id"), "__id"))
+    rows = found.withColumn("__upto", upto).where(F.col("__upto") <= most_bytes).select(bucket_of("__id").cast("int"), "__label", "__text").collect()
     return sorted((int(b), int(y), t) for b, y, t in rows)
 
 
