@@ -92,11 +92,11 @@ def gaussian_nb(train: DataFrame, test: DataFrame, smoothing: float = 1e-9) -> D
     likelihoods plus log priors; ties go to the smaller label."""
     x = train.select("label", F.posexplode(wide(F.col("vec"))).alias("dim", "x"))
     spread = x.groupBy("dim").agg(F.var_pop("x").alias("v")).agg((F.max("v") * smoothing).alias("eps"))
-    moments = x.groupBy("label", "dim").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v")).join(F.broadcast(spread))
+    moments = x.groupBy("label", "dim").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v")).join(spread)
     priors = train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("prior", F.log(F.col("n") / F.sum("n").over(W.partitionBy())))
     model = moments.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("dim", "m", (F.col("v") + F.col("eps")).alias("v")))).alias("d")).join(priors, "label")
     z = F.zip_with(wide(F.col("vec")), F.col("d"), lambda a, p: -0.5 * (F.log(2 * np.pi * p["v"]) + (a - p["m"]) * (a - p["m"]) / p["v"]))
-    scored = test.select("image_id", F.col("label").alias("true_label"), "vec").join(F.broadcast(model)).select("image_id", "true_label", F.col("label").alias("l"), (F.aggregate(z, F.lit(0.0), lambda s, t: s + t) + F.col("prior")).alias("s"))
+    scored = test.select("image_id", F.col("label").alias("true_label"), "vec").join(model).select("image_id", "true_label", F.col("label").alias("l"), (F.aggregate(z, F.lit(0.0), lambda s, t: s + t) + F.col("prior")).alias("s"))
     g = scored.groupBy("image_id", "true_label").agg(F.sort_array(F.collect_list(F.struct((-F.round("s", 9)).alias("s"), "l"))).alias("c"))
     e = F.transform("c", lambda q: F.struct(q["l"].alias("l"), F.exp(F.col("c")[0]["s"] - q["s"]).alias("p")))
     g = g.withColumn("e", e).withColumn("t", F.aggregate("e", F.lit(0.0), lambda s, q: s + q["p"]))

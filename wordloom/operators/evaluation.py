@@ -9,6 +9,7 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -26,8 +27,13 @@ def stratified_split(labels: DataFrame, test_size: float = 0.2, seed: int = 42)
     counts = labels.groupBy("class").agg(F.count(F.lit(1)).alias("__n")).withColumn("__all", F.lit(0))
     quota = allocate(counts, ["__all"], "class", "__n", F.lit(math.ceil(round(test_size * n, 9))), "__test").select("class", "__test")
     key = F.md5(F.concat(F.col("image_id").cast("string"), F.lit(f"|{seed}")).cast("binary"))
-    place = F.row_number().over(W.partitionBy("class").orderBy(key, "image_id"))
-    return labels.join(F.broadcast(quota), "class").withColumn("is_test", place <= F.col("__test")).select("image_id", "class", "is_test")
+    x = labels.select("image_id", "class", key.alias("__key")).withColumn("__cut", F.substring("__key", 1, 3))
+    # a class is cut by the first digits of the hash: counts tell all cuts but one whether their rows are test rows
+    upto = F.sum("n").over(W.partitionBy("class").orderBy("__cut"))
+    cuts = x.groupBy("class", "__cut").agg(F.count(F.lit(1)).alias("n")).select("class", "__cut", (upto - F.col("n")).alias("__before"))
+    place = F.row_number().over(W.partitionBy("class", "__cut").orderBy("__key", "image_id"))
+    x = x.withColumn("__place", place).join(cuts, ["class", "__cut"]).join(quota, "class")
+    return x.select("image_id", "class", (F.col("__before") + F.col("__place") <= F.col("__test")).alias("is_test"))
 
 
 # --- metrics ----------------------------------------------------------------------------------------
@@ -85,12 +91,18 @@ def auc_macro_ovr(p: DataFrame, by: list[str]) -> DataFrame:
     without probabilities, with fewer than two classes, or if the probabilities' classes aren't the labels'."""
     x = p.select(*by, "true_label", F.explode_outer("proba").alias("label", "s"))
     known = class_counts(p, by).groupBy(*by).agg(F.sort_array(F.collect_set("label")).alias("classes"), F.count_if(F.col("n_true") == 0).alias("absent"))
-    per = W.partitionBy(*by, "label")
-    tied = W.partitionBy(*by, "label", "s")
-    rank = F.rank().over(per.orderBy("s")) + (F.count(F.lit(1)).over(tied) - 1) / 2.0
-    y = (F.col("true_label") == F.col("label")).cast("double")
-    sums = x.withColumn("r", rank).groupBy(*by, "label").agg(F.sum(y * F.col("r")).alias("ranks"), F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    auc = F.when((F.col("pos") > 0) & (F.col("neg") > 0), (F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))).otherwise(F.lit(float("nan")))
+    # rows of one score are counted first; scores are cut into 8,192 steps, which are summed up before each is run through
+    y = F.col("true_label") == F.col("label")
+    step = F.floor(F.col("s") / (1 + F.abs("s")) * 4096)
+    tied = x.withColumn("step", step).groupBy(*by, "label", "step", "s").agg(F.count_if(y).alias("p"), F.count_if(~y).alias("n"))
+    own = [*by, "label"]
+    steps = tied.groupBy(*own, "step").agg(F.sum("n").alias("all"))
+    steps = steps.select(*own, "step", (F.sum("all").over(W.partitionBy(*own).orderBy("step")) - F.col("all")).alias("below"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*own, "step"]]
+    met = tied.alias("a").join(steps.alias("b"), reduce(lambda u, v: u & v, same)).select("a.*", "b.below")
+    less = F.col("below") + F.sum("n").over(W.partitionBy(*own, "step").orderBy("s")) - F.col("n")
+    sums = met.withColumn("wins", F.col("p") * (less + F.col("n") / 2.0)).groupBy(*own).agg(F.sum("wins").alias("wins"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    auc = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("wins") / (F.col("pos") * F.col("neg"))).otherwise(F.lit(float("nan")))
     each = sums.withColumn("auc", auc).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("label", "auc"))).alias("a"))
     joined = each.join(known, by) if by else each.join(known)
     mean = F.aggregate("a", F.lit(0.0), lambda t, z: t + z["auc"]) / F.size("a")

@@ -30,7 +30,7 @@ def position_words(rows: DataFrame, labels: DataFrame, top_n: int, names: list[s
     sizes = seen.groupBy("class").agg(F.count(F.lit(1)).alias("n_images"))
     words = stats.select("position", "word_id").distinct()
     zero = F.lit(0).cast("bigint")
-    dense = words.join(F.broadcast(sizes)).join(stats, ["position", "class", "word_id"], "left")
+    dense = words.join(sizes).join(stats, ["position", "class", "word_id"], "left")
     # a word of a position is a key of its own, so one pass scores all positions
     key = F.struct("position", "word_id")
     dense = dense.select("class", key.alias("word_id"), "n_images", F.coalesce("freq", zero).alias("freq"), F.coalesce("freq", zero).alias("df"), F.lit(0.0).alias("flogf"))

@@ -56,7 +56,7 @@ def classes_containing(cw: DataFrame) -> DataFrame:
 
 def masked_zero(occ: DataFrame, selected: DataFrame, words: DataFrame) -> DataFrame:
     """Every word for every image, 0 where it isn't selected or doesn't occur."""
-    kept = occ.join(F.broadcast(selected.select("word_id").distinct()), "word_id", "left_semi")
+    kept = occ.join(selected.select("word_id").distinct(), "word_id", "left_semi")
     grid = occ.select("image_id").distinct().join(words.select("word_id").distinct())
     return grid.join(kept, ["image_id", "word_id"], "left").select("image_id", "word_id", F.coalesce("f", F.lit(0)).cast("bigint").alias("f"))
 
@@ -65,14 +65,14 @@ def masked_compact(occ: DataFrame, selected: DataFrame) -> DataFrame:
     """Selected words alone, renumbered from 0 in order of their ids."""
     number = F.row_number().over(W.orderBy("word_id")) - 1
     ids = selected.select("word_id").distinct().withColumn("dim", number)
-    return occ.join(F.broadcast(ids), "word_id").select("image_id", "dim", "f")
+    return occ.join(ids, "word_id").select("image_id", "dim", "f")
 
 
 def survivors(clustered: DataFrame) -> DataFrame:
     """Rows in a cluster (label not -1), labels renumbered from 0 without gaps in their order."""
     kept = clustered.where(F.col("label") != -1)
     ids = kept.select("label").distinct().withColumn("cluster_id", F.row_number().over(W.orderBy("label")) - 1)
-    return kept.join(F.broadcast(ids), "label").drop("label")
+    return kept.join(ids, "label").drop("label")
 
 
 def noise_share(clustered: DataFrame) -> DataFrame:
