@@ -99,7 +99,7 @@ def test_image_folders(spark, tmp_path):
     small = images.preprocess(pixels, 16)
     assert {r["pixels"]["height"] for r in small.collect()} == {16}
     noise = spark.createDataFrame([("n", (32, 32, 3, bytearray(np.random.default_rng(0).integers(0, 255, 32 * 32 * 3, dtype=np.uint8).tobytes())))], "image_id string, pixels struct<height:int,width:int,channels:int,data:binary>")
-    d = images.describe(noise).collect()
+    d = images.describe(noise, "gradient").collect()
     assert len(d) == 9
     assert len(d[0]["vec"]) == 128
     assert [r["image_id"] for r in images.pending(noise, noise.limit(0)).collect()] == ["n"]

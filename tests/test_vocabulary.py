@@ -122,11 +122,16 @@ def test_large_groups_give_the_same_clusters(spark, monkeypatch, min_samples):
 
 
 def test_large_umap_lays_out_every_point(spark, monkeypatch):
+    """Rows outside the sample come to lie among their own kind."""
     r = np.random.default_rng(6)
-    d = points(spark, np.concatenate([r.normal(c, 0.1, (25, 5)) for c in np.eye(5)[:3] * 4]))
-    monkeypatch.setattr(cluster, "MOST_POINTS", 50)
-    got = cluster.reduce(d, "umap", 2, 8).collect()
-    assert len({x["image_id"] for x in got}) == len({x["image_id"] for x in d.collect()}) and len(got) == 75
+    xs = np.concatenate([r.normal(c, 0.1, (60, 5)) for c in np.eye(5)[:3] * 4])
+    monkeypatch.setattr(cluster, "MOST_POINTS", 60)
+    got = {x["image_id"]: np.array(x["vec"]) for x in cluster.reduce(points(spark, xs).withColumn("note", F.lit("n")), "umap", 2, 8).collect()}
+    assert len(got) == 180
+    own = [np.array([got[f"i{k}"] for k in range(60 * c, 60 * c + 60)]) for c in range(3)]
+    centres = [o.mean(axis=0) for o in own]
+    right = [np.argmin([np.linalg.norm(v - c) for c in centres]) == k for k, o in enumerate(own) for v in o]
+    assert np.mean(right) > 0.95
 
 
 def test_lloyd_needs_points(spark):
@@ -149,3 +154,21 @@ def test_umap_keeps_blobs_apart(spark):
         assert np.linalg.norm(got[0]["vec"]) == pytest.approx(1.0)
     with pytest.raises(ValueError):
         cluster.reduce(points(spark, xs), "none such")
+
+
+@pytest.mark.parametrize("name", classify.CLASSIFIERS)
+def test_every_classifier_tells_blobs_apart(spark, name):
+    r = np.random.default_rng(12)
+    rows = [(f"{c}{i}", c, [float(v) for v in r.normal(4 * k + 3, 0.3, 3).clip(0)]) for k, c in enumerate("ab") for i in range(30)]
+    df = spark.createDataFrame(rows, "image_id string, label string, vec array<float>")
+    side = F.substring("image_id", 2, 2).cast("int") < 20
+    got = classify.classify(name, df.where(side), df.where(~side), boosting_rounds=3).collect()
+    assert len(got) == 20
+    assert sum(x["true_label"] == x["predicted_label"] for x in got) >= 18
+    assert all(set(x["proba"]) == {"a", "b"} or name == "knn" for x in got)
+
+
+def test_multinomial_needs_counts(spark):
+    df = spark.createDataFrame([("1", "a", [-1.0, 2.0]), ("2", "b", [1.0, 2.0])], "image_id string, label string, vec array<float>")
+    with pytest.raises(ValueError, match="gaussian"):
+        classify.classify("naive_bayes", df, df, variant="multinomial")

@@ -125,9 +125,9 @@ def random_features(df: DataFrame, dim: int, gamma: float, n: int = 256, seed: i
 CLASSIFIERS = ("mlp", "svc", "decision_tree", "knn", "logistic_regression", "xgboost", "naive_bayes", "random_forest")
 
 
-def classify(name: str, train: DataFrame, test: DataFrame, seed: int = 42, variant: str = "gaussian", k: int = 5) -> DataFrame:
+def classify(name: str, train: DataFrame, test: DataFrame, seed: int = 42, variant: str = "gaussian", k: int = 5, boosting_rounds: int = 20) -> DataFrame:
     """Fit by name on train, predict test. svc is a linear machine on random radial features with a softmax of its
-    margins; xgboost is boosted trees, one class against the rest; both stand in for what has no equal here."""
+    margins; xgboost is `boosting_rounds` rounds of boosted trees, one class against the rest; both stand in for what has no equal here."""
     if name not in CLASSIFIERS:
         raise ValueError(f"no classifier {name!r}; there are {CLASSIFIERS}")
     if name == "knn":
@@ -147,12 +147,14 @@ def classify(name: str, train: DataFrame, test: DataFrame, seed: int = 42, varia
     prepared = [t.select("image_id", "label", array_to_vector(wide(F.col("vec"))).alias("features")) for t in (train, test)]
     indexer = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(prepared[0])
     classes = indexer.labels
+    if name == "naive_bayes" and train.where(F.exists("vec", lambda v: v < 0)).limit(1).count():
+        raise ValueError("multinomial naive Bayes needs features that are not negative; set classifiers.naive_bayes_variant=gaussian")
     kinds = {
         "mlp": lambda: C.MultilayerPerceptronClassifier(layers=[dim, 100, max(2, len(classes))], seed=seed, labelCol="y"),
         "svc": lambda: C.OneVsRest(classifier=C.LinearSVC(maxIter=100), labelCol="y", rawPredictionCol="rawPrediction"),
         "decision_tree": lambda: C.DecisionTreeClassifier(maxDepth=30, minInstancesPerNode=1, seed=seed, labelCol="y"),
         "logistic_regression": lambda: C.LogisticRegression(family="multinomial", maxIter=1000, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, labelCol="y"),
-        "xgboost": lambda: C.OneVsRest(classifier=C.GBTClassifier(maxIter=20, seed=seed), labelCol="y", rawPredictionCol="rawPrediction"),
+        "xgboost": lambda: C.OneVsRest(classifier=C.GBTClassifier(maxIter=boosting_rounds, seed=seed), labelCol="y", rawPredictionCol="rawPrediction"),
         "naive_bayes": lambda: C.NaiveBayes(modelType=variant, labelCol="y"),
         "random_forest": lambda: C.RandomForestClassifier(numTrees=100, seed=seed, labelCol="y"),
     }

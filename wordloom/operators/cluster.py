@@ -11,16 +11,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.vectors import l2_normalise, wide
+from wordloom.functions.arrow import matrix, squared, unit_rows, with_columns
+from wordloom.functions.vectors import wide
 from wordloom.session import materialise
 
 #: Points that one task clusters.
 MOST_POINTS = 20_000
 #: Bytes of vectors that are broadcast at a time, and rows that a task compares with them at a time.
 CHUNK_BYTES, ROWS = 32 << 20, 128
+#: Bytes of the sample that a layout is fitted on.
+SAMPLE_BYTES = 64 << 20
 
 
 def spanning_edges(x: np.ndarray, min_samples: int = 1) -> np.ndarray:
@@ -265,26 +269,30 @@ def spanning_edges_of(points: DataFrame, n: int, min_samples: int = 1) -> np.nda
         group = np.array([root(g) for g in range(len(names))])[group]
 
 
-def umap(x: np.ndarray, dim: int = 10, neighbours: int = 15, min_dist: float = 0.0, epochs: int = 200, seed: int = 42, graph: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+def fuzzy_weights(dist: np.ndarray) -> np.ndarray:
+    """Weights of each row's neighbours: 1 for the nearest, falling off at the width at which they sum to log2 of their number."""
+    rho, k = dist.min(axis=1), dist.shape[1]
+    low, high = np.zeros(len(dist)), np.full(len(dist), 1e3)
+    for _ in range(40):
+        sigma = (low + high) / 2
+        more = np.exp(-np.maximum(0, dist - rho[:, None]) / np.maximum(sigma, 1e-9)[:, None]).sum(axis=1) > np.log2(max(2, k))
+        high, low = np.where(more, sigma, high), np.where(more, low, sigma)
+    return np.exp(-np.maximum(0, dist - rho[:, None]) / np.maximum((low + high) / 2, 1e-9)[:, None])
+
+
+def umap(x: np.ndarray, dim: int = 10, neighbours: int = 15, min_dist: float = 0.0, epochs: int = 200, seed: int = 42) -> np.ndarray:
     """Uniform manifold approximation (McInnes, Healy, Melville 2018) of the rows of x: exact neighbours, smoothed local
-    distances, their fuzzy union, principal components to begin with, and attraction and repulsion along sampled edges. graph: the neighbours' numbers
-    and distances, where they are known."""
+    distances, their fuzzy union, principal components to begin with, and attraction and repulsion along sampled edges."""
     n, r = len(x), np.random.default_rng(seed)
     k = min(neighbours, n - 1)
-    near, dist = graph or (np.empty((n, k), np.int64), np.empty((n, k)))
+    near, dist = np.empty((n, k), np.int64), np.empty((n, k))
     norms = (x * x).sum(axis=1)
-    for at in range(0, 0 if graph else n, 512):
+    for at in range(0, n, 512):
         d = np.sqrt(np.maximum(0, norms[at : at + 512, None] + norms - 2 * x[at : at + 512] @ x.T))
         d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
         top = np.argpartition(d, k - 1, axis=1)[:, :k]
         near[at : at + 512], dist[at : at + 512] = top, np.take_along_axis(d, top, axis=1)
-    rho = dist.min(axis=1)
-    low, high = np.zeros(n), np.full(n, 1e3)
-    for _ in range(40):  # the width at which the weights of a point sum to log2 k
-        sigma = (low + high) / 2
-        more = np.exp(-np.maximum(0, dist - rho[:, None]) / np.maximum(sigma, 1e-9)[:, None]).sum(axis=1) > np.log2(max(2, k))
-        high, low = np.where(more, sigma, high), np.where(more, low, sigma)
-    w = np.exp(-np.maximum(0, dist - rho[:, None]) / np.maximum((low + high) / 2, 1e-9)[:, None])
+    w = fuzzy_weights(dist)
     a, b = np.repeat(np.arange(n), k), near.ravel()
     key, both = np.concatenate((a * n + b, b * n + a)), np.concatenate((w.ravel(), w.ravel()))
     edges, inverse = np.unique(key, return_inverse=True)
@@ -318,27 +326,54 @@ def umap(x: np.ndarray, dim: int = 10, neighbours: int = 15, min_dist: float = 0
     return y
 
 
+def _unit(df: DataFrame) -> DataFrame:
+    return with_columns(df, [wide(F.col("vec"))], "vec array<double>", lambda vec: [pa.array(list(unit_rows(matrix(vec))), pa.list_(pa.float64()))])
+
+
+def _laid_out(x: DataFrame, dim: int, neighbours: int, min_dist: float, seed: int) -> DataFrame:
+    """x with vec laid out: a sample of at most MOST_POINTS rows and SAMPLE_BYTES (first by a hash of their numbers, which go by image
+    and index) in one task, all other rows among their nearest of it, as the sample's weights would be."""
+    order = [c for c in ("image_id", "local_idx") if c in x.columns] or ["vec"]
+    points, n = numbered(x, *order)
+    if not n:
+        return x
+    size = len(points.select("vec").first()["vec"])
+    most = max(neighbours + 1, min(MOST_POINTS, SAMPLE_BYTES // (8 * (size + dim))))
+    sample = points.select("__i", "vec") if n <= most else points.select("__i", "vec").orderBy(F.xxhash64("__i"), "__i").limit(most)
+
+    def lay(pdf):
+        pdf = pdf.sort_values("__i", kind="stable").reset_index(drop=True)
+        pdf["at"] = list(umap(np.stack(pdf["vec"].to_numpy()), dim, neighbours, min_dist, seed=seed))
+        return pdf[["__i", "vec", "at"]]
+
+    got = materialise(sample.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(lay, "__i bigint, vec array<double>, at array<double>")).orderBy("__i").toArrow().combine_chunks()
+    shared = x.sparkSession.sparkContext.broadcast((got.column(0).to_numpy(), matrix(got.column(1).chunk(0)), matrix(got.column(2).chunk(0))))
+
+    def work(i, vec):
+        known, a, laid = shared.value
+        ids, v = i.to_numpy(), matrix(vec)
+        place = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+        out, rest = laid[place], np.flatnonzero(known[place] != ids)
+        norms, k = (a * a).sum(axis=1), min(neighbours, len(a))
+        for at in range(0, len(rest), ROWS):
+            own = rest[at : at + ROWS]
+            d, _ = squared(v[own], a, norms)
+            near = np.argpartition(d, k - 1, axis=1)[:, :k]
+            dist = np.sqrt(((v[own][:, None] - a[near]) ** 2).sum(axis=2))
+            out[own] = (laid[near] * (w := fuzzy_weights(dist))[:, :, None]).sum(axis=1) / w.sum(axis=1, keepdims=True)
+        return [pa.array(list(out), pa.list_(pa.float64()))]
+
+    return with_columns(points, [F.col("__i"), F.col("vec")], "vec array<double>", work).drop("__i")
+
+
 def reduce(descriptors: DataFrame, method: str = "none", dim: int = 10, neighbours: int = 15, min_dist: float = 0.0, seed: int = 42) -> DataFrame:
-    """vec to unit length, then by `method` (none, pca, umap) to dim dimensions and to unit length again. umap lays all
-    points out in one task; above MOST_POINTS its neighbours are found in all tasks before."""
-    x = descriptors.withColumn("vec", l2_normalise(F.col("vec")))
+    """vec to unit length, then by `method` (none, pca, umap) to dim dimensions and to unit length again. umap lays out a
+    bounded sample and puts all other points among it."""
+    x = _unit(descriptors)
     if method == "none":
         return x
     if method == "umap":
-        kept = [c for c in x.columns if c != "vec"]
-        schema = ", ".join([f"`{c}` {x.schema[c].dataType.simpleString()}" for c in kept] + ["vec array<double>"])
-        order, graph = [c for c in ("image_id", "local_idx") if c in kept], None
-        if (n := x.count()) > MOST_POINTS:
-            x, n = numbered(x, *order)
-            order, graph = ["__i"], x.sparkSession.sparkContext.broadcast(nearest(x, n, min(neighbours, n - 1))[:2])
-
-        def run(pdf):
-            pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-            pdf["vec"] = list(umap(np.stack(pdf["vec"].to_numpy()), dim, neighbours, min_dist, seed=seed, graph=graph and graph.value))
-            return pdf[[*kept, "vec"]]
-
-        got = x.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, schema)
-        return got.withColumn("vec", l2_normalise(F.col("vec")))
+        return _unit(_laid_out(x, dim, neighbours, min_dist, seed))
     if method != "pca":
         raise ValueError(f"no reducer {method!r}; there are none, pca and umap")
     from pyspark.ml.feature import PCA
@@ -346,7 +381,7 @@ def reduce(descriptors: DataFrame, method: str = "none", dim: int = 10, neighbou
 
     y = x.withColumn("__v", array_to_vector("vec"))
     model = PCA(k=dim, inputCol="__v", outputCol="__p").fit(y)
-    return model.transform(y).withColumn("vec", l2_normalise(vector_to_array("__p"))).drop("__v", "__p")
+    return _unit(model.transform(y).withColumn("vec", vector_to_array("__p")).drop("__v", "__p"))
 
 
 def density_clusters(descriptors: DataFrame, min_cluster_size: int = 5, min_samples: int = 1, cells: DataFrame | None = None) -> DataFrame:

@@ -10,14 +10,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions.arrow import with_columns
 from wordloom.operators import candidates, cluster, positional, selection, stats, vocabulary
 from wordloom.operators.classify import classify
 from wordloom.operators.evaluation import comparison_table, evaluate, stratified_split, with_proba_map
 from wordloom.plans.config import Config
 from wordloom.session import materialise
+from wordloom.sources import networks
 
 Inputs = dict[str, DataFrame]
 
@@ -56,7 +60,7 @@ def _train_rows(d: DataFrame, split: DataFrame) -> DataFrame:
 
 def bag_of_words(inputs: Inputs, c: Config, approach: str, tag: str) -> DataFrame:
     split = _split(inputs, c)
-    words = materialise(vocabulary.build_vocabulary(_train_rows(inputs[tag], split), c.vocabulary.k, c.vocabulary.seed, c.vocabulary.max_iter))
+    words = materialise(vocabulary.build_vocabulary(_train_rows(inputs[tag], split), c.vocabulary.k, c.vocabulary.seed, c.vocabulary.max_iter, batch=c.vocabulary.batch))
     occ = vocabulary.encode(inputs[tag], words)
     return _evaluated(*_sides(dense_vectors(occ, c.vocabulary.k), split), c, approach, "full", c.vocabulary.k)
 
@@ -83,7 +87,7 @@ def selected_words(inputs: Inputs, c: Config, approach: str, tag: str) -> DataFr
             pool = candidates.weighted_pool(chosen, rows, c.selection.candidate_pool_size or rows.count())
         else:
             pool = candidates.legacy_pool(chosen, rows)
-        words = materialise(vocabulary.build_vocabulary(candidates.gather(pool, train), c.vocabulary.k, c.vocabulary.seed, c.vocabulary.max_iter, "cosine"))
+        words = materialise(vocabulary.build_vocabulary(candidates.gather(pool, train), c.vocabulary.k, c.vocabulary.seed, c.vocabulary.max_iter, "cosine", c.vocabulary.batch))
         occ_all = vocabulary.encode(inputs[tag], words, "cosine")
         one = _evaluated(*_sides(dense_vectors(occ_all, c.vocabulary.k), split), c, approach, name, c.vocabulary.k)
         out = one if out is None else out.unionByName(one)
@@ -91,20 +95,39 @@ def selected_words(inputs: Inputs, c: Config, approach: str, tag: str) -> DataFr
 
 
 def mean_pool(images: DataFrame) -> DataFrame:
-    """The plain tail: a synthetic image's vector is the mean over its positions. Other tails are plugged in as `tail`."""
+    """The plain tail: a synthetic image's vector is the mean over its positions."""
     x = images.select("strategy", "class", "j", F.posexplode("vec").alias("dim", "x"))
     m = x.groupBy("strategy", "class", "j", "dim").agg(F.avg("x").alias("x"))
     return m.groupBy("strategy", "class", "j").agg(F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("d")).select("strategy", "class", "j", F.col("d.x").alias("vec"))
 
 
-def reconstructed(inputs: Inputs, c: Config, approach: str, tag: str, tail: Callable[[DataFrame], DataFrame] = mean_pool) -> DataFrame:
-    """Training on synthetic images alone, testing on the real images' global vectors."""
+def network_tail(images: DataFrame, kind: str, settings: dict) -> DataFrame:
+    """The rest of a network behind its local layer, over the positions of each synthetic image in order: the same space as
+    the real images' global vectors. All images have the network's number of positions, so a row's list is bounded."""
+    x = images.groupBy("strategy", "class", "j").agg(F.sort_array(F.collect_list(F.struct("position", "vec"))).alias("p"))
+    x = x.select("strategy", "class", "j", F.size("p").alias("n"), F.flatten("p.vec").alias("vec"))
+
+    def work(n, vec):
+        out: list = []
+        for at in range(0, len(n), 32):
+            flat = [np.asarray(v, np.float32).reshape(m, -1) for v, m in zip(vec.slice(at, 32).to_pylist(), n.slice(at, 32).to_pylist())]
+            out += list(networks.network(kind, **settings).tail(np.stack(flat)))
+        return [pa.array(out, pa.list_(pa.float32()))]
+
+    return with_columns(x, [F.col("n"), F.col("vec")], "vec array<float>", work).drop("n")
+
+
+def reconstructed(inputs: Inputs, c: Config, approach: str, tag: str, tail: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Training on synthetic images alone, testing on the real images' global vectors. Without a tail the network's own
+    follows, if the configuration names its weights (or allows seeded ones), else the mean over positions."""
+    settings = c.features.network(tag)
+    tail = tail or (partial(network_tail, kind=tag, settings=settings) if settings is not None else mean_pool)
     split = _split(inputs, c)
     train = materialise(_train_rows(inputs[tag], split))
     rows = clustered(train, c).select("image_id", F.col("local_idx").alias("position"), F.col("cluster_id").alias("word_id"), "prob")
     labels = split.where(~F.col("is_test")).select("image_id", "class")
     classes, positions = labels.select("class").distinct(), train.select(F.col("local_idx").alias("position")).distinct()
-    n = positional.default_synthetic_count(labels.count(), classes.count())
+    n = c.selection.images_per_class or positional.default_synthetic_count(labels.count(), classes.count())
     words = materialise(positional.position_words(rows, labels, c.selection.position_top_n, c.selection.strategies))
     reps = positional.representatives(rows, words)
     dim = len(train.select("vec").first()["vec"])

@@ -411,7 +411,7 @@ def umap_reduce(spark, d):
 def classify_mllib(spark, d):
     train, test = _sides(spark, d)
     out = None
-    for name in ("logistic_regression", "decision_tree"):
-        one = classify.classify(name, train, test).select(F.lit(name).alias("classifier"), "image_id", "true_label", "predicted_label")
+    for name in ("logistic_regression", "decision_tree", "random_forest", "mlp", "svc", "xgboost"):
+        one = classify.classify(name, train, test, boosting_rounds=5).select(F.lit(name).alias("classifier"), "image_id", "true_label", "predicted_label")
         out = one if out is None else out.unionByName(one)
     return out

@@ -33,14 +33,17 @@ class Steps:
         return fs.exists(p)
 
     def _write(self, path: str, text: str) -> None:
-        """By a temporary file and a rename."""
-        jvm, p, fs = self._fs(path)
+        """By a temporary file and a rename over the old one, which stays until then."""
+        jvm, p, _ = self._fs(path)
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()) if p.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.spark.sparkContext._jsc.hadoopConfiguration())
         temp = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+        _, _, fs = self._fs(path)
         out = fs.create(temp, True)
         out.write(text.encode())
         out.close()
-        fs.delete(p, False)
-        fs.rename(temp, p)
+        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files.rename(temp, p, over)
 
     def status(self, name: str) -> dict | None:
         path = f"{self.folder}/{name}.json"

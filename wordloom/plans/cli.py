@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,17 @@ from pyspark.sql import functions as F
 from wordloom.operators.classify import CLASSIFIERS
 from wordloom.plans import approaches, config, report
 from wordloom.plans.checkpoint import Steps
-from wordloom.sources import images
+from wordloom.sources import images, keypoints, networks
 
-#: Which descriptor tables an approach reads, and the extractor that makes each.
-TABLES = {"sift": "gradient", "cnn": "cnn", "vit": "vit", "cnn_global": "cnn_global", "vit_global": "vit_global"}
+def extractor_of(table: str, f: config.Features):
+    """The extractor that makes a descriptor table."""
+    if table == "sift":
+        return lambda imgs: [keypoints.sift_descriptors(i, f.sift_contrast, f.sift_edge, f.sift_most) for i in imgs]
+    tag, _, whole = table.partition("_")
+    settings = f.network(tag)
+    if settings is None:
+        raise ValueError(f"{table} needs features.{tag}_weights (an .npz file), or features.seeded=true for a dry run")
+    return networks.extractor(tag, whole or "local", f.batch, **settings)
 
 
 def needed(approach: str) -> list[str]:
@@ -30,7 +38,7 @@ def inputs_of(spark: SparkSession, scanned: DataFrame, root: str, c: config.Conf
     small = steps.step(f"{name}_preprocess", c.data.image_size, lambda: images.preprocess(pixels, c.data.image_size), [root])
     out = {"labels": scanned.select("image_id", "class")}
     for t in tables:
-        made = steps.step(f"{name}_{t}", [c.data.image_size, TABLES[t]], lambda t=t: images.describe(small, TABLES[t]), [root])
+        made = steps.step(f"{name}_{t}", [c.data.image_size, dataclasses.asdict(c.features)], lambda t=t: images.describe(small, extractor_of(t, c.features)), [root])
         out[t] = made.select("image_id", "vec") if t.endswith("_global") else made
     return out
 

@@ -18,11 +18,32 @@ class Data:
     image_size: int = 128
 
 
+@D.dataclass
+class Features:
+    """Weights are .npz files; `seeded` allows networks without any, for dry runs. *_settings go to the networks."""
+
+    sift_most: int = 0
+    sift_contrast: float = 0.04
+    sift_edge: float = 10.0
+    cnn_weights: str | None = None
+    cnn_settings: dict = D.field(default_factory=dict)
+    vit_weights: str | None = None
+    vit_settings: dict = D.field(default_factory=dict)
+    batch: int = 32
+    seeded: bool = False
+
+    def network(self, tag: str) -> dict | None:
+        """The settings of a network, or None if it can't be made."""
+        path, settings = (self.cnn_weights, self.cnn_settings) if tag == "cnn" else (self.vit_weights, self.vit_settings)
+        return {**settings, **({"weights": path} if path else {})} if path or self.seeded else None
+
+
 @D.dataclass
 class Vocabulary:
     k: int = 256
     seed: int = 42
     max_iter: int = 100
+    batch: int | None = 1000
 
 
 @D.dataclass
@@ -46,12 +67,13 @@ class Selection:
     mode: str = "weighted"
     candidate_pool_size: int | None = None
     position_top_n: int = 5
+    images_per_class: int | None = None
 
 
 @D.dataclass
 class Classifiers:
-    enabled: list = D.field(default_factory=lambda: ["mlp", "svc", "decision_tree", "logistic_regression", "naive_bayes"])
-    naive_bayes_variant: str = "gaussian"
+    enabled: list = D.field(default_factory=lambda: ["mlp", "svc", "decision_tree", "logistic_regression", "xgboost", "naive_bayes"])
+    naive_bayes_variant: str = "multinomial"
     knn_k: int = 5
 
 
@@ -65,6 +87,7 @@ class Runtime:
 @D.dataclass
 class Config:
     data: Data = D.field(default_factory=Data)
+    features: Features = D.field(default_factory=Features)
     vocabulary: Vocabulary = D.field(default_factory=Vocabulary)
     reduction: Reduction = D.field(default_factory=Reduction)
     density: Density = D.field(default_factory=Density)
@@ -86,6 +109,8 @@ def check(c: Config) -> None:
         (c.reduction.method not in ("none", "pca", "umap"), "reduction.method must be none, pca or umap"),
         (not 0 < c.runtime.test_size < 1, "test_size must lie between 0 and 1"),
         (c.vocabulary.k < 1 or c.density.min_cluster_size < 2 or c.density.min_samples < 1, "k, min_cluster_size and min_samples must be 1, 2 and 1 at least"),
+        (c.classifiers.naive_bayes_variant not in ("multinomial", "gaussian"), "naive_bayes_variant must be multinomial or gaussian"),
+        (c.selection.images_per_class is not None and c.selection.images_per_class < 1, "images_per_class must be 1 at least"),
         (bool(set(c.selection.strategies) - set(STRATEGY_NAMES)), f"strategies are {STRATEGY_NAMES}"),
         (bool(set(c.classifiers.enabled) - set(CLASSIFIERS)), f"classifiers are {CLASSIFIERS}"),
     ]
@@ -146,7 +171,7 @@ def training_hash(c: Config, strategy: str | None = None) -> str:
     """What a stored prediction depends on; which other classifiers are enabled isn't part of it."""
     raw = D.asdict(c)
     raw["classifiers"].pop("enabled")
-    return content_hash([{k: raw[k] for k in ("vocabulary", "reduction", "density", "selection", "classifiers")}, c.runtime.test_size, c.runtime.seed, strategy])
+    return content_hash([{k: raw[k] for k in ("features", "vocabulary", "reduction", "density", "selection", "classifiers")}, c.runtime.test_size, c.runtime.seed, strategy])
 
 
 def ensure_run_id(c: Config) -> str:

@@ -6,13 +6,15 @@ that Spark reads will do. Pixels: struct(height, width, channels, data), rows of
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.sources.keypoints import sift_descriptors
+
 SUFFIXES = ("jpg", "jpeg", "png", "bmp")
 PIXELS = "height int, width int, channels int, data binary"
 
@@ -93,14 +95,43 @@ def equalise(light: np.ndarray, tiles: int = 8, clip: float = 2.0) -> np.ndarray
     return np.rint(out).clip(0, 255).astype(np.uint8)
 
 
+# sRGB to XYZ under daylight (D65), and that white.
+_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
+_WHITE = np.array([0.950456, 1.0, 1.088754])
+
+
+def to_lab(bgr: np.ndarray) -> np.ndarray:
+    """Bytes of blue, green, red -> bytes of lightness (0 .. 255) and two colours (128: none)."""
+    c = bgr[..., ::-1].astype(np.float64) / 255
+    c = np.where(c > 0.04045, ((c + 0.055) / 1.055) ** 2.4, c / 12.92)
+    t = c @ _XYZ.T / _WHITE
+    f = np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16 / 116)
+    light = np.where(t[..., 1] > 0.008856, 116 * np.cbrt(t[..., 1]) - 16, 903.3 * t[..., 1])
+    lab = np.stack((light * 255 / 100, 500 * (f[..., 0] - f[..., 1]) + 128, 200 * (f[..., 1] - f[..., 2]) + 128), axis=-1)
+    return np.rint(lab).clip(0, 255).astype(np.uint8)
+
+
+def from_lab(lab: np.ndarray) -> np.ndarray:
+    """The way back."""
+    light, a, b = np.moveaxis(lab.astype(np.float64), -1, 0)
+    light, a, b = light * 100 / 255, a - 128, b - 128
+    y = np.where(light > 903.3 * 0.008856, ((light + 16) / 116) ** 3, light / 903.3)
+    fy = np.where(light > 903.3 * 0.008856, (light + 16) / 116, 7.787 * y + 16 / 116)
+    f = np.stack((fy + a / 500, fy, fy - b / 200), axis=-1)
+    t = np.where(f > 6 / 29, f**3, (f - 16 / 116) / 7.787)
+    t[..., 1] = y
+    c = (t * _WHITE) @ np.linalg.inv(_XYZ).T
+    c = np.where(c > 0.0031308, 1.055 * np.maximum(c, 0) ** (1 / 2.4) - 0.055, 12.92 * c)
+    return np.rint(c[..., ::-1] * 255).clip(0, 255).astype(np.uint8)
+
+
 def preprocess_image(img: np.ndarray, size: int = 128, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
-    """Grey to three channels, resized by area, lightness equalised with colours scaled along."""
+    """Grey to three channels, resized by area, lightness equalised, colours kept."""
     if img.ndim == 2 or img.shape[2] == 1:
         img = np.repeat(img.reshape(*img.shape[:2], 1), 3, axis=2)
-    small = resize_area(img[:, :, :3], size)
-    light = np.rint(small.astype(np.float64) @ np.array([0.114, 0.587, 0.299])).clip(0, 255).astype(np.uint8)
-    flat = equalise(light, tiles, clip).astype(np.float64)
-    return np.rint(small * ((flat + 1) / (light + 1.0))[:, :, None]).clip(0, 255).astype(np.uint8)
+    lab = to_lab(resize_area(img[:, :, :3], size))
+    lab[..., 0] = equalise(lab[..., 0], tiles, clip)
+    return from_lab(lab)
 
 
 def gradient_descriptors(img: np.ndarray, patch: int = 16, step: int = 8) -> np.ndarray:
@@ -123,18 +154,24 @@ def gradient_descriptors(img: np.ndarray, patch: int = 16, step: int = 8) -> np.
     return np.array(out, np.float32).reshape(-1, 128)
 
 
-#: Extractors by name: image -> (n, D) descriptors. Networks are plugged in here by `register_extractor`.
-EXTRACTORS = {"gradient": gradient_descriptors}
+#: Extractors by name: images -> (n, D) descriptors of each.
+EXTRACTORS: dict[str, Callable[[list[np.ndarray]], list[np.ndarray]]] = {}
 
 
 def register_extractor(name: str):
+    """Register a function of one image."""
+
     def add(fn):
-        EXTRACTORS[name] = fn
+        EXTRACTORS[name] = lambda images: [fn(i) for i in images]
         return fn
 
     return add
 
 
+register_extractor("gradient")(gradient_descriptors)
+register_extractor("sift")(sift_descriptors)
+
+
 def _pixels(batch: pa.RecordBatch, at: int) -> list[np.ndarray]:
     return [np.frombuffer(p["data"], np.uint8).reshape(p["height"], p["width"], p["channels"]) for p in batch.column(at).to_pylist()]
 
@@ -151,21 +188,23 @@ def preprocess(images: DataFrame, size: int = 128) -> DataFrame:
     return images.select("image_id", "pixels").mapInArrow(run, f"image_id string, pixels struct<{', '.join(c.replace(' ', ': ') for c in PIXELS.split(', '))}>")
 
 
-def describe(images: DataFrame, extractor: str = "gradient") -> DataFrame:
-    """images: image_id, pixels -> a row per descriptor: image_id, local_idx, vec. The extractor is made in each worker."""
-    if extractor not in EXTRACTORS:
+def describe(images: DataFrame, extractor: str | Callable[[list[np.ndarray]], list[np.ndarray]] = "sift") -> DataFrame:
+    """images: image_id, pixels -> a row per descriptor: image_id, local_idx, vec. extractor: a registered name, or a function
+    of a list of images; what it needs is made in each worker."""
+    if isinstance(extractor, str) and extractor not in EXTRACTORS:
         raise ValueError(f"no extractor {extractor!r}; there are {sorted(EXTRACTORS)}")
-    kernel = EXTRACTORS[extractor]
+    kernel = EXTRACTORS[extractor] if isinstance(extractor, str) else extractor
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, at, vecs = [], [], []
-            for i, img in zip(b.column(0).to_pylist(), _pixels(b, 1)):
-                d = kernel(img)
-                ids += [i] * len(d)
-                at += range(len(d))
-                vecs += list(d)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(at, pa.int32()), pa.array(vecs, pa.list_(pa.float32()))], names=["image_id", "local_idx", "vec"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                ids, places, vecs = [], [], []
+                for i, d in zip(b.column(0).to_pylist(), kernel(_pixels(b, 1))):
+                    ids += [i] * len(d)
+                    places += range(len(d))
+                    vecs += list(np.asarray(d, np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(places, pa.int32()), pa.array(vecs, pa.list_(pa.float32()))], names=["image_id", "local_idx", "vec"])
 
     return images.select("image_id", "pixels").mapInArrow(run, "image_id string, local_idx int, vec array<float>")
 
