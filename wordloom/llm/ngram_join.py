@@ -347,8 +347,9 @@ def rarest(seen: DataFrame) -> DataFrame:
     x = seen.where("s0 is not null")
     first = lambda k: F.concat(F.slice(f"s{k}", 1, F.col(f"d{k}") + 1), F.when(F.col(f"c{k}").isNotNull(), F.array(f"c{k}")).otherwise(F.array().cast("array<bigint>")))
     own = x.select("key1", F.explode(F.concat(first(0), F.coalesce(first(1), F.array().cast("array<bigint>")))).alias("s"))
-    # a hot signature is summed up in each task first, and in the join AQE splits its rows
-    shared = own.groupBy("s").agg(F.min("key1").alias("lo"), F.max("key1").alias("hi")).where("lo < hi").select("s")
+    # a hot signature is counted in each task first, and in the join AQE splits its rows; equal sets seen by several workers
+    # count too, and go when each set is there once
+    shared = own.groupBy("s").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("s")
     met = materialise(own.join(shared.hint("merge"), "s", "left_semi").select("key1").distinct())
     n = met.count()
     met = met.coalesce(max(1, min(met.rdd.getNumPartitions(), -(-n // 10_000))))
