@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from wordloom.llm.common import vocabulary_path
+from wordloom.llm.common import library_threads, vocabulary_path
 from wordloom.session import table
 
 _TEXT = re.compile(r"\\|#{3,}|<(?=/turn>)")
@@ -99,6 +99,7 @@ def masked_texts(text: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarr
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    library_threads()
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = True
     made.no_truncation()

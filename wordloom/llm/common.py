@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import os
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -28,6 +29,12 @@ def vocabulary_path(name: str) -> str:
         return f"/opt/tokenizers/{name}"
 
 
+def library_threads(threads: int = 2) -> None:
+    """How many threads the tokenizers library may use in this worker, unless the environment says so already; to be called
+    before its first batch. Idle ones would wait at full load, and every core has a task of its own."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+
+
 def bucket_of(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5; 0 marks held-out rows."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
@@ -40,7 +47,7 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict],
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for piece in cut(batch):
                 got = fn({c: piece.column(k) if c in passing else piece.column(k).to_pylist() for k, c in enumerate(columns)})
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
@@ -48,17 +55,17 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict],
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def append_column(df: DataFrame, column: str, kind: str, name: str, work: Callable) -> DataFrame:
-    """All columns of df but one called `name`, and `name` made from `column` a batch at a time: work() is called in
+def append_column(df: DataFrame, column: str, kind: str, name: str, work: Callable, keep: bool = True) -> DataFrame:
+    """All columns of df but one called `name` (and, unless keep, the column itself, which needn't travel back), and `name` made from `column` a batch at a time: work() is called in
     each task and returns a function from an Arrow array to an Arrow array."""
-    kept = [c for c in df.columns if c != name]
+    kept = [c for c in df.columns if c != name and (keep or c != column)]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(name, T.StructType.fromDDL(f"x {kind}")[0].dataType)])
     arrow = to_arrow_schema(schema)
     rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias(free(df, "in")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = work()
-        for batch in batches:
+        for batch in released(batches):
             for piece in cut(batch):
                 made = state(piece.column(len(kept)))
                 yield pa.RecordBatch.from_arrays([*(piece.column(k).cast(f.type) for k, f in zip(range(len(kept)), arrow)), made], schema=arrow)
@@ -137,6 +144,12 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def released(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one a worker gives back what it no longer holds, for it stays while others work."""
+    yield from batches
+    release()
+
+
 class Words:
     """Words seen by a worker, each with a row of a float32 matrix; emptied when it holds `most` words.
     Row 0 is all zeros. `make` turns a list of words into their rows."""

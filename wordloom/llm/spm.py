@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import append_column, vocabulary_path, worker_state
+from wordloom.llm.common import append_column, library_threads, vocabulary_path, worker_state
 from wordloom.session import table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Chunks remembered per worker process, in two generations: when the younger one is full it replaces the older.
-REMEMBERED = 200_000
+REMEMBERED = 480_000
 #: Chunks that the library's threads get at a time: what it returns for each is many times as large as its ids.
 AT_ONCE = 2048
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
@@ -164,6 +164,7 @@ class Codec:
     def core(self):
         """The tokenizer, made when something is first encoded: of chunks that are normalised already, or of texts."""
         if self._core is None:
+            library_threads()
             self._core = self.model.tokenizer(normalise=not self.cuts)
         return self._core
 
@@ -245,7 +246,8 @@ def _codec(path: str, verify_every: int = 0) -> Codec:
     return worker_state(("pieces", path, verify_every), lambda: Codec(path, verify_every))
 
 
-def encode_texts(df: DataFrame, text: str = "text", model_path: str | None = None, verify_every: int = 997, ids: str = "piece_ids") -> DataFrame:
+def encode_texts(df: DataFrame, text: str = "text", model_path: str | None = None, verify_every: int = 997, ids: str = "piece_ids", keep: bool = True) -> DataFrame:
+    """df with a column of piece ids; keep: with its texts."""
     path = model_path or vocabulary_path("piece_bpe_32k.model")
 
     def work():
@@ -262,10 +264,11 @@ def encode_texts(df: DataFrame, text: str = "text", model_path: str | None = Non
 
         return state
 
-    return append_column(df, text, "array<int>", ids, work)
+    return append_column(df, text, "array<int>", ids, work, keep)
 
 
-def decode_ids(df: DataFrame, ids: str = "piece_ids", model_path: str | None = None, text: str = "decoded") -> DataFrame:
+def decode_ids(df: DataFrame, ids: str = "piece_ids", model_path: str | None = None, text: str = "decoded", keep: bool = True) -> DataFrame:
+    """df with a column of decoded texts; keep: with its ids."""
     path = model_path or vocabulary_path("piece_bpe_32k.model")
 
     def work():
@@ -278,18 +281,18 @@ def decode_ids(df: DataFrame, ids: str = "piece_ids", model_path: str | None = N
 
         return state
 
-    return append_column(df, ids, "string", text, work)
+    return append_column(df, ids, "string", text, work, keep)
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Every whole text encoded, decoded again, and compared."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = encode_texts(docs).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "piece_ids")
-    back = decode_ids(made)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "text")
+    made = encode_texts(docs, keep=False)
+    back = decode_ids(made.select("doc_id", "text_crc32", F.size("piece_ids").cast("bigint").alias("n_pieces"), F.xxhash64("piece_ids").alias("pieces_hash"), "piece_ids"), keep=False)
     return back.select(
         "doc_id",
-        F.size("piece_ids").cast("bigint").alias("n_pieces"),
-        F.xxhash64("piece_ids").alias("pieces_hash"),
+        "n_pieces",
+        "pieces_hash",
         F.octet_length("decoded").cast("bigint").alias("decoded_bytes"),
         F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
         F.coalesce(F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32"), F.lit(True)).alias("round_trip"),
