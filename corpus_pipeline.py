@@ -58,7 +58,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    made = spm.encode_texts(docs.select("doc_id", "source", "text"))
+    made = spm.encode_texts(docs.select("doc_id", "source", "text"), keep=False)
     return made.select("doc_id", "source", F.size("piece_ids").cast("bigint").alias("n_pieces"), "piece_ids")
 
 
