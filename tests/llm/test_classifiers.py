@@ -135,3 +135,95 @@ def test_queries(spark, op, query, column):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     judged = [r for r in rows if r["held_out"] and r[column] is not None]
     assert np.mean([r["predicted"] == r[column] for r in judged]) > 0.9
+
+
+class Recorder:
+    """Stands in for the optimiser: keeps the gradients and moves nothing."""
+
+    def __init__(self):
+        self.grads, self.rate, self.n = {}, 0.0, 1
+
+    def step(self, grads):
+        self.grads = {k: np.array(v, np.float64) for k, v in grads.items()}
+
+
+def slope(loss, array, at, by=1e-2):
+    old = array[at].copy()
+    array[at] = old + by
+    up = loss()
+    array[at] = old - by
+    down = loss()
+    array[at] = old
+    return (up - down) / (2 * by)
+
+
+def logistic(z, y):
+    return float(np.log1p(np.exp(-abs(z))) + max(z, 0) - z * y)
+
+
+def test_attention_against_loops_and_its_gradients():
+    docs, labels = poor_corpus(6, 4)
+    model, words = quality.Scorer(), quality.word_table()
+    r = np.random.default_rng(0)
+    made = [quality.bags([d[1]], words)[:3] for d in docs]
+    y, weight = np.array([v for _, v, _ in labels], np.float32), r.uniform(0.5, 2, 6).astype(np.float32)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    p = model.p
+
+    def plain(d):
+        h = np.maximum(model.encode(*made[d]) @ p["w1"] + p["b1"], 0)
+        e = [sum(p["w"][g] * np.tanh(row @ p["v"][:, g]) / (1 + np.exp(-(row @ p["u"][:, g]))) for g in range(len(p["w"]))) for row in h]
+        a = np.exp(np.array(e) - max(e))
+        return float((a / a.sum()) @ h @ p["out"] + p["base"][0]), a / a.sum()
+
+    counts = np.array([len(m[0]) for m in made])
+    f = model.forward(model.encode(*(np.concatenate([m[k] for m in made]) for k in range(3))), counts)
+    assert f["z"] == pytest.approx([plain(d)[0] for d in range(6)], abs=1e-4)
+    assert f["weights"] == pytest.approx(np.concatenate([plain(d)[1] for d in range(6)]), abs=1e-5)
+
+    seen, shapes = Recorder(), model.shapes.copy()
+    model._step(np.arange(6), made, y, weight, seen, np.zeros((len(model.shapes), 1), np.float32))
+    model.shapes = shapes  # the embeddings move by a rule of their own
+    decayed = lambda: sum(0.5e-4 * float((p[k] ** 2).sum()) for k in ("w1", "out"))
+    loss = lambda: sum(logistic(plain(d)[0], float(y[d])) * float(weight[d]) for d in range(6)) / 6 + decayed()
+    for name, g in seen.grads.items():
+        strongest = np.unravel_index(np.argsort(-np.abs(g), axis=None)[:3], g.shape)
+        for at in zip(*strongest):
+            assert slope(loss, p[name], at, 1e-4) == pytest.approx(g[at], rel=0.03, abs=1e-5), name
+
+
+def test_convolution_against_loops_and_its_gradients():
+    model = toxicity.Classifier()
+    r = np.random.default_rng(1)
+    texts = [" ".join(r.choice(WORDS, 9)) for _ in range(4)] + ["ban"]
+    known = {w: k for k, w in enumerate(sorted({w for t in texts for w in t.split()}))}
+    ids = [np.array([known[w] for w in t.split()]) for t in texts]
+    hashes, pad = toxicity._hashes(list(known)), max(toxicity.WIDTHS) - 1
+    y, weight = np.array([1, 0, 1, 0, 1], np.float32), r.uniform(0.5, 2, 5).astype(np.float32)
+    a, b, c = model.a.copy(), model.b.copy(), model.c.copy()
+
+    def plain(d):
+        x = np.array([a[h[0]] + b[h[1]] + c[h[2]] for h in hashes[ids[d]]] + [np.zeros(toxicity.DIM)] * pad, np.float64)
+        z, at = model.base[0], 0
+        for k in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                best = max(sum(x[i + j] @ model.w[k][j][:, f].astype(np.float64) for j in range(k)) + model.bias[at] for i in range(len(x) - pad))
+                z += max(best, 0) * model.out[at]
+                at += 1
+        return float(z)
+
+    got, _ = model.logits(texts, model.words())
+    assert got == pytest.approx([plain(d) for d in range(5)], abs=1e-4)
+
+    class Everything:
+        def random(self, n):
+            return np.ones(n)
+
+    dense = {f"w{k}": model.w[k] for k in toxicity.WIDTHS} | {"bias": model.bias, "out": model.out, "base": model.base}
+    moments = {k: np.zeros(len(v), np.float32) for k, v in (("a", a), ("b", b), ("c", c))}
+    seen = Recorder()
+    model._step(np.arange(5), ids, hashes, np.ones((len(known), 1), np.float32), y, weight, seen, dense, moments, pad, Everything())
+    loss = lambda: sum(logistic(plain(d), float(y[d])) * float(weight[d]) for d in range(5)) / 5
+    for name, g in seen.grads.items():
+        for at in zip(*np.unravel_index(np.argsort(-np.abs(g), axis=None)[:2], g.shape)):
+            assert slope(loss, dense[name], at, 1e-3) == pytest.approx(g[at], rel=0.05, abs=1e-4), name
