@@ -99,7 +99,7 @@ def test_graph_search_finds_the_nearest_lists():
     r = np.random.default_rng(2)
     x = r.normal(size=(9000, 12)).astype(np.float32)
     index = ann.Index(x, len(x))
-    assert len(index.centroids) > index.probes
+    assert len(index.centroids) == 90 and index.probes >= 64
     assert index.share.max() < 12 * index.share.mean()
     q = x[:200]
     found = index.search(q)
@@ -108,6 +108,36 @@ def test_graph_search_finds_the_nearest_lists():
     assert hit > 0.95
 
 
+def read(index, x, queries):
+    """The share of all vectors that the queries read, and that of their 5 nearest among them."""
+    homes, seen, hits = index.homes(x), [], 0
+    u = ann.unit(x)
+    for q, lists in zip(queries, index.search(x[queries])):
+        mark = np.zeros(len(index.centroids), bool)
+        mark[lists] = True
+        found = np.array([mark[h].any() for h in homes])
+        sims = u @ u[q]
+        sims[q] = -9
+        seen.append(found.mean())
+        hits += found[np.argsort(-sims)[:5]].sum()
+    return np.mean(seen), hits / (5 * len(queries))
+
+
+def test_how_much_is_read_goes_by_how_the_vectors_lie(monkeypatch):
+    r = np.random.default_rng(4)
+    monkeypatch.setattr(ann, "LEAST_PROBES", 4)
+    centres = r.normal(size=(300, 24))
+    clustered = (centres[r.integers(0, 300, 12_000)] + 0.2 * r.normal(size=(12_000, 24))).astype(np.float32)
+    alike = r.normal(size=(12_000, 24)).astype(np.float32)
+    queries = np.arange(0, 12_000, 200)
+    share, recall = read(ann.Index(clustered, 12_000), clustered, queries)
+    assert share < 0.1 and recall > 0.9
+    more, recall = read(ann.Index(alike, 12_000), alike, queries)
+    assert more > 2 * share and recall > 0.9
+    part = ann.Index(alike[::3], 12_000)  # fitted on a sample: its neighbours lie further apart
+    assert read(part, alike, queries)[1] > 0.9
+
+
 def test_query(spark, small):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
     got = {}

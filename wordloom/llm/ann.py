@@ -4,9 +4,10 @@ On a sample of at most SAMPLE vectors and SAMPLE_BYTES (first by a hash of their
 that charge for full lists gives the centroids; each points to near and to random others, and a best-first
 search over that graph finds a query's nearest centroids in memory. Every vector is put in its nearest list
 and, near a boundary, in up to REPLICAS - 1 more: those not over CLOSURE times as far, unless a list that it
-already has lies nearer to that centroid than the vector does. A query reads the lists at most RATIO times as far
-as its nearest one, up to an eighth of all lists and 64 at least; with 64 lists or fewer that can be all. A query that
-finds fewer than k other ids there is answered again over all lists.
+already has lies nearer to that centroid than the vector does. A query reads the lists at most so many times as far as
+its nearest one, and so many at most, as the sample's own neighbours ask for (`Index.calibrated`; LEAST_PROBES lists and
+LEAST_RATIO are always allowed): few where vectors lie in clusters, many where they lie alike in all directions. A
+query that finds fewer than k other ids there is answered again over all lists.
 
 Equal vectors are one entry with their k + 1 smallest ids, enough for any answer. A list expected to hold over
 LIST_ROWS entries, or to be asked by over LIST_ROWS queries, is dealt to cells; a cell's entries are read
@@ -34,7 +35,9 @@ from wordloom.llm.common import map_rows
 from wordloom.session import materialise, table
 
 SAMPLE, SAMPLE_BYTES, LIST_SHARE, MOST_LISTS = 20_000, 128 << 20, 100, 4096
-REPLICAS, CLOSURE, RATIO, LIST_ROWS = 4, 1.3, 1.4, 2048
+REPLICAS, CLOSURE, LIST_ROWS = 4, 1.3, 2048
+#: The share of the sample's true neighbours that reading must find, of so many queries; the least lists and ratio read.
+FOUND, ASKED, LEAST_PROBES, LEAST_RATIO = 0.97, 256, 64, 1.4
 NEAR, FAR = 12, 4
 
 
@@ -75,9 +78,11 @@ class Index:
         near = np.argsort(-sims, axis=1, kind="stable")[:, : min(NEAR, max(1, lists - 1))]
         self.graph = np.concatenate((near, r.integers(0, lists, (lists, FAR))), axis=1)
         self.entries = np.unique(np.linspace(0, lists - 1, min(8, lists)).astype(int))
-        self.probes = min(lists, max(64, lists // 8))
+        held = self.homes(sample)
+        count, ratio = self.calibrated(sample, held)
+        self.probes, self.ratio = min(lists, max(LEAST_PROBES, count)), max(LEAST_RATIO, ratio)
         few = sample[:: max(1, len(sample) // 4000)]
-        self.share = np.bincount(np.concatenate(self.homes(sample)), minlength=lists) / len(sample)
+        self.share = np.bincount(np.concatenate(held), minlength=lists) / len(sample)
         self.asked = np.bincount(np.concatenate(self.search(few)), minlength=lists) / len(few)
         self.stamp = uuid.uuid4().hex
 
@@ -100,37 +105,66 @@ class Index:
                 out.append(np.array(held))
         return out
 
+    def calibrated(self, sample: np.ndarray, held: list[np.ndarray], k: int = 5) -> tuple[int, float]:
+        """How many lists, and lists of what distance ratio, hold the share FOUND of the sample's own k nearest of ASKED of its
+        vectors. In all rows the nearest lie closer than in a sample of them, so this is on the safe side."""
+        asked = np.linspace(0, len(sample) - 1, min(ASKED, len(sample))).astype(int)
+        if len(sample) <= 1:
+            return 1, 1.0
+        x = unit(sample).astype(np.float32)
+        counts, ratios = [], []
+        for at in range(0, len(asked), 64):
+            own = asked[at : at + 64]
+            sims = x[own] @ x.T
+            sims[np.arange(len(own)), own] = -3
+            near = np.argpartition(-sims, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]
+            lists = x[own] @ self.centroids.T
+            order = np.argsort(np.argsort(-lists, axis=1, kind="stable"), axis=1)
+            far = np.sqrt(np.maximum(0, 2 - 2 * lists))
+            for r, row in enumerate(near):
+                counts += [order[r, held[v]].min() + 1 for v in row]
+                ratios += [far[r, held[v]].min() / max(float(far[r].min()), 1e-6) for v in row]
+        return int(np.quantile(counts, FOUND, method="higher")), float(np.quantile(ratios, (1 + FOUND) / 2, method="higher"))
+
     def search(self, x: np.ndarray) -> list[np.ndarray]:
-        """The lists that each query reads: best-first over the graph, all queries of a block in step."""
+        """The lists that each query reads: best-first over the graph, all queries of a block in step. A query keeps the
+        nearest centroids it has met, a quarter more than it may read, and a mark for each that it has seen."""
         out: list[np.ndarray] = []
-        width, n = min(len(self.centroids), self.probes + self.probes // 4), len(self.centroids)
-        for at in range(0, len(x), 256):
-            q = unit(x[at : at + 256]).astype(np.float32)
-            seen = np.full((len(q), n), -2.0, np.float32)
-            open_ = np.zeros((len(q), n), bool)
-            seen[:, self.entries] = q @ self.centroids[self.entries].T
-            open_[:, self.entries] = True
+        n = len(self.centroids)
+        width, block = min(n, self.probes + self.probes // 4), max(16, 16384 // x.shape[1])
+        for at in range(0, len(x), block):
+            q = unit(x[at : at + block]).astype(np.float32)
             rows = np.arange(len(q))[:, None]
+            seen = np.zeros((len(q), n), bool)
+            seen[:, self.entries] = True
+            ids = np.tile(self.entries, (len(q), 1))
+            scores = q @ self.centroids[self.entries].T
+            open_ = np.ones(ids.shape, bool)
             while True:
-                bound = np.partition(seen, n - width, axis=1)[:, n - width]
-                ready = np.where(open_ & (seen >= bound[:, None]), seen, -3)
-                step = min(8, n)
+                ready = np.where(open_, scores, -3)
+                step = min(8, ids.shape[1])
                 best = np.argpartition(-ready, step - 1, axis=1)[:, :step]
                 live = ready[rows, best] > -3
                 if not live.any():
                     break
-                open_[rows, best] &= ~live
-                near = self.graph[best].reshape(len(q), -1)
-                live = np.repeat(live, self.graph.shape[1], axis=1)
-                new = live & (seen[rows, near] <= -2)
+                open_[rows, best] = False
+                near = self.graph[ids[rows, best]].reshape(len(q), -1)
+                near = np.sort(np.where(np.repeat(live, self.graph.shape[1], axis=1) & ~seen[rows, near], near, n), axis=1)
+                new = near < n
+                new[:, 1:] &= near[:, 1:] != near[:, :-1]
                 a, b = np.nonzero(new)
-                ids = near[a, b]
-                seen[a, ids] = np.einsum("ij,ij->i", q[a], self.centroids[ids])
-                open_[a, ids] = True
-            for row in seen:
-                ids = np.argpartition(-row, self.probes - 1)[: self.probes]
-                far = np.sqrt(np.maximum(0, 2 - 2 * row[ids]))
-                out.append(ids[(far <= RATIO * far.min() + 1e-6) & (row[ids] > -2)])
+                found = near[a, b]
+                seen[a, found] = True
+                met = np.full(near.shape, -3, np.float32)
+                met[a, b] = np.einsum("ij,ij->i", q[a], self.centroids[found])
+                ids, scores, open_ = np.hstack((ids, np.where(new, near, 0))), np.hstack((scores, met)), np.hstack((open_, new))
+                if ids.shape[1] > width:
+                    top = np.argpartition(-scores, width - 1, axis=1)[:, :width]
+                    ids, scores, open_ = ids[rows, top], scores[rows, top], open_[rows, top]
+            for own, row in zip(ids, scores):
+                order = np.argsort(-row, kind="stable")[: self.probes]
+                far = np.sqrt(np.maximum(0, 2 - 2 * row[order]))
+                out.append(own[order][(far <= self.ratio * far[0] + 1e-6) & (row[order] > -2)])
         return out
 
 
