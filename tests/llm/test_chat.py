@@ -82,6 +82,7 @@ def test_conversations(spark, segment, part, monkeypatch):
     got = chat.digests(made).collect()
     assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"], r["formatted_chars"]) for r in got} == expected(CONVERSATIONS + LONG)
     assert len(got) == 7
+    assert all((r["loss_tokens"] > 0) == (r["loss_chars"] > 0) and r["loss_tokens"] < r["n_tokens"] for r in got)
     # wherever a conversation is cut, its tokens are those of the whole
     tokenizer = chat._tokenizer(vocabulary_path("byte_bpe_50k.json"))
     own = sorted((r for r in made.where("conv_id = 9").collect()), key=lambda r: (r["part"], r["segment"]))
@@ -114,4 +115,3 @@ def test_query(spark, small):
     rows += [(-7, 0, "user", chat.HOSTILE), (-7, 1, "assistant", chat.HOSTILE)]
     got = chat.op3_chat_masks(spark, small).collect()
     assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"], r["formatted_chars"]) for r in got} == expected(rows)
-    assert all(r["loss_tokens"] <= r["n_tokens"] for r in got)

@@ -13,4 +13,28 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, d.doc_id)
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
 """
 
-ORACLE_SQL = {"op9_signature_tree_join": OP9}
+#: Turns and loss texts in order; the formatted length is that of roles and texts, a character for each escape, and 13 for marks.
+OP3 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r0, text AS t0 FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', 'assistant', '\### Assistant: </turn> ok'
+),
+e AS (
+  SELECT *,
+    length(role) + length(text)
+      + (length(role) - length(replace(role, '\', ''))) + (length(text) - length(replace(text, '\', '')))
+      + length(array_to_string(regexp_extract_all(role, '#{3,}'), '')) + length(array_to_string(regexp_extract_all(text, '#{3,}'), ''))
+      + (length(role) - length(replace(role, '</turn>', ''))) // 7 + (length(text) - length(replace(text, '</turn>', ''))) // 7
+      + (length(role) - length(replace(role, chr(10), ''))) + 13 AS chars
+  FROM c
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLE_SQL = {"op3_chat_masks": OP3, "op9_signature_tree_join": OP9}
