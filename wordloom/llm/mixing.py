@@ -88,8 +88,8 @@ def _owners(numbers: DataFrame, column: str, shares: DataFrame, n: int, few: boo
 
 
 def shard_counts(totals: DataFrame, shards: int | None = None) -> DataFrame:
-    """shard, __name, n: how many slots of each output shard a source has. Multinomial draws, reconciled to the totals
-    (__name, slots); a shard's counts sum to its slots, a source's to its total."""
+    """shard, __name, n in the shared folder: how many slots of each output shard a source has. Multinomial draws, reconciled
+    to the totals (__name, slots); a shard's counts sum to its slots, a source's to its total."""
     spark = totals.sparkSession
     n, sources = totals.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count(F.lit(1))).first()
     few = sources <= FEW_SOURCES
@@ -102,26 +102,27 @@ def shard_counts(totals: DataFrame, shards: int | None = None) -> DataFrame:
     x = drawn.join(totals.select("__name", "slots"), "__name").withColumns({"upto": upto, "every": every})
     x = x.withColumn("over", F.greatest(F.col("every") - F.col("slots"), F.lit(0)))
     gone = F.expr("over * upto div every - over * (upto - n) div every")  # rounded along the shards, so the sum is `over`
-    held = materialise(x.select("shard", "__name", "n", gone.alias("gone")), min(n, shards * sources))
+    rows = min(n, shards * sources)  # of the counts, at most
+    held = materialise(x.select("shard", "__name", "n", gone.alias("gone")), rows)
     freed = held.groupBy("shard").agg(F.sum("gone").alias("gone")).where("gone > 0")
     holes = freed.agg(F.sum("gone")).first()[0]
     kept = held.select("shard", "__name", (F.col("n") - F.col("gone")).alias("n"))
     if not holes:
-        return kept.where("n > 0")
+        return materialise(kept.where("n > 0"), rows)
     past = F.sum("gone").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow))
     places = freed.withColumn("past", past).select("shard", F.explode(F.sequence(F.col("past") - F.col("gone"), F.col("past") - 1)).alias("hole"))
     places = places.select("shard", permuted(F.col("hole"), F.lit(holes), F.lit("fill")).alias("draw"))
     lack = totals.select("__name", "slots").join(held.groupBy("__name").agg(F.sum("n").alias("n")), "__name", "left")
     lack = lack.select("__name", F.greatest(F.col("slots") - F.coalesce("n", F.lit(0)), F.lit(0)).alias("share"))
     filled = _owners(places, "draw", lack, holes, few).groupBy("shard", "__name").agg(F.count(F.lit(1)).alias("n"))
-    return kept.unionByName(filled).groupBy("shard", "__name").agg(F.sum("n").alias("n")).where("n > 0")
+    return materialise(kept.unionByName(filled).groupBy("shard", "__name").agg(F.sum("n").alias("n")).where("n > 0"), rows)
 
 
 def slots_of(targets: DataFrame, shards: int | None = None) -> DataFrame:
     """The mix: shard, position, __name of the source, pass (from 0), block, words taken of it (all but the last slot of a
     source take whole blocks)."""
     totals = materialise(slot_totals(targets), 1)  # a row per source
-    counts = materialise(shard_counts(totals, shards), 1)  # a row per shard and source in it
+    counts = shard_counts(totals, shards)
     before = lambda key, order: F.sum("n").over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
     s = counts.withColumns({"first": before("__name", "shard"), "place": before("shard", "__name"), "all": F.sum("n").over(W.partitionBy("shard"))})
     s = s.join(totals, "__name").repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "__name")  # by number, for the rows are few until exploded
