@@ -48,6 +48,19 @@ def test_one_hot_key(spark):
     check(shards_of(spark, sharding.numbered(df.unionByName(nulls))), 16, 9500)
 
 
+def test_large_slices_are_ranked_by_parts(spark, monkeypatch):
+    df = sharding.numbered(spark.range(6000).select(F.col("id").alias("doc_id"), *[F.lit("c").alias(c) for c in ("parts", "slice", "__part", "first", "Shard", "__slice", "a.b")]))
+    monkeypatch.setattr(sharding, "SLICE_BITS", 3)
+    monkeypatch.setattr(sharding, "SLICES", 8)
+    whole = {r["doc_id"]: r["shard"] for r in shards_of(spark, df)}
+    monkeypatch.setattr(sharding, "PART_ROWS", 100)
+    rows = shards_of(spark, df)
+    check(rows, 16, 6000)
+    assert rows[0].asDict().keys() == {"doc_id", "parts", "slice", "__part", "first", "__slice", "a.b", "shard", "slot"}
+    assert all(r["parts"] == r["slice"] == r["__part"] == r["a.b"] == "c" for r in rows)
+    assert sum(whole[r["doc_id"]] != r["shard"] for r in rows) < 0.6 * 6000  # parts hold other ranks of the same slices
+
+
 def test_query(spark, small):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     rows = sharding.op7_consistent_ring(spark, small).collect()

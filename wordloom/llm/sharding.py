@@ -5,13 +5,14 @@ from its key's slice. Loads are bounded by floor or ceiling of rows / shards (la
 overflow a full shard continue clockwise to the next shard with room. Balance is thus exact, and one more
 shard moves little beside what it takes and what the bounds push on.
 
-Only counts per slice are looked at on the driver (at most SLICES, and as many parts again of hot slices): they
-decide which ranks of which slice go where, so placing rows is one window within slices and one join with
-that small plan. A slice with more than HOT times its fair share of rows is split by row number.
+Only counts per slice are looked at on the driver (at most SLICES, as many parts again of hot slices, and one for every
+PART_ROWS rows): they decide which ranks of which slice go where, so placing rows is one window within slices and one
+join with that small plan. A slice with more than HOT times its fair share of rows, or more than PART_ROWS, is split by
+row number, so that no window grows with the table.
 
 Cases: null texts count 1 and have the checksum of nothing; null ids share one place on the ring; repeated rows
 are rows of their own; fewer rows than shards leave shards empty; an empty table gives no rows; extra columns
-are not looked at. DataFrame operations only.
+pass through, whatever their names, but for shard and slot. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -24,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wordloom.llm.common import free
 from wordloom.session import gathered, materialise, table
 
 SLICE_BITS = 12
 SLICES = 1 << SLICE_BITS
 #: A slice with so many times its share of rows is dealt out in parts.
 HOT = 4
+#: Rows that one window ranks.
+PART_ROWS = 2_000_000
 
 
 def ring(spark, shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -72,30 +76,28 @@ def _small(spark, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("x")).select("x.*")
 
 
-def assign(df: DataFrame, key: str, shards: int = 16, vnodes: int = 64) -> DataFrame:
-    """All columns of df, and shard and slot (gapless from 0 in each shard). df is read several times: pass a table
-    that is cheap to read."""
+def assign(df: DataFrame, key: str, shards: int = 16, vnodes: int = 64, row: str = "__row") -> DataFrame:
+    """All columns of df but `row`, which numbers its rows, and shard and slot (gapless from 0 in each shard), which take the
+    place of columns of these names. df is read several times: pass a table that is cheap to read."""
     spark = df.sparkSession
-    place = F.xxhash64(F.lit("key"), F.col(key))
-    x = df.withColumn("__place", place).withColumn("__slice", F.shiftrightunsigned("__place", 64 - SLICE_BITS).cast("int"))
-    counts = {r["__slice"]: r["n"] for r in x.groupBy("__slice").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most SLICES rows
-    fair = max(64, HOT * sum(counts.values()) // SLICES)
-    hot = {s: -(-n // fair) for s, n in counts.items() if n > fair}  # at most SLICES / HOT slices, with at most SLICES / HOT * 2 parts
+    place, slice_, part, parts, rank, of, nth, first, past, to, slot0 = (free(df, c) for c in ("place", "slice", "part", "parts", "rank", "of", "nth", "first", "past", "to", "slot0"))
+    x = df.withColumn(place, F.xxhash64(F.lit("key"), F.col(f"`{key}`"))).withColumn(slice_, F.shiftrightunsigned(place, 64 - SLICE_BITS).cast("int"))
+    counts = {r[0]: r[1] for r in x.groupBy(slice_).agg(F.count(F.lit(1))).collect()}  # at most SLICES rows
+    fair = min(max(64, HOT * sum(counts.values()) // SLICES), PART_ROWS)
+    hot = {s: -(-n // fair) for s, n in counts.items() if n > fair}  # at most SLICES / HOT slices with SLICES / HOT * 2 parts, or rows / PART_ROWS more
     if hot:
-        parts = F.broadcast(_small(spark, [{"__slice": s, "parts": n} for s, n in hot.items()], "__slice int, parts int"))
-        x = x.join(parts, "__slice", "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64("__row"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-        seen = x.where(F.col("__slice").isin(list(hot))).groupBy("__slice", "__part").agg(F.count(F.lit(1)).alias("n")).collect()
-        every = [(r["__slice"], r["__part"], r["n"]) for r in seen] + [(s, 0, n) for s, n in counts.items() if s not in hot]
+        split = F.broadcast(_small(spark, [{"slice": s, "parts": n} for s, n in hot.items()], "slice int, parts int").toDF(slice_, parts))
+        x = x.join(split, slice_, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(F.col(f"`{row}`")), F.col(parts)), F.lit(0)).cast("int"))
+        seen = x.where(F.col(parts).isNotNull()).groupBy(slice_, part).agg(F.count(F.lit(1))).collect()
+        every = [tuple(r) for r in seen] + [(s, 0, n) for s, n in counts.items() if s not in hot]
     else:
-        x = x.withColumn("__part", F.lit(0))
+        x = x.withColumn(part, F.lit(0))
         every = [(s, 0, n) for s, n in counts.items()]
-    chunks = F.broadcast(_small(spark, plan(every, ring(spark, shards, vnodes), shards), "slice int, part int, first bigint, past bigint, shard int, slot0 bigint"))
-    rank = F.row_number().over(W.partitionBy("__slice", "__part").orderBy("__place", key, "__row")) - 1
-    ranked = x.withColumn("__rank", rank)
-    held = (F.col("__slice") == F.col("slice")) & (F.col("__part") == F.col("part")) & (F.col("__rank") >= F.col("first")) & (F.col("__rank") < F.col("past"))
-    placed = ranked.join(chunks, held)
-    kept = [c for c in df.columns if c != "__row"]
-    return gathered(placed, sum(counts.values())).select(*kept, F.col("shard"), (F.col("slot0") + F.col("__rank") - F.col("first")).alias("slot"))
+    chunks = F.broadcast(_small(spark, plan(every, ring(spark, shards, vnodes), shards), "slice int, part int, first bigint, past bigint, shard int, slot0 bigint").toDF(of, nth, first, past, to, slot0))
+    ranked = x.withColumn(rank, F.row_number().over(W.partitionBy(slice_, part).orderBy(place, F.col(f"`{key}`"), F.col(f"`{row}`"))) - 1)
+    held = (F.col(slice_) == F.col(of)) & (F.col(part) == F.col(nth)) & (F.col(rank) >= F.col(first)) & (F.col(rank) < F.col(past))
+    kept = [F.col(f"`{c}`") for c in df.columns if c != row and c.lower() not in ("shard", "slot")]
+    return gathered(ranked.join(chunks, held), sum(counts.values())).select(*kept, F.col(to).alias("shard"), (F.col(slot0) + F.col(rank) - F.col(first)).alias("slot"))
 
 
 def numbered(df: DataFrame) -> DataFrame:
