@@ -66,6 +66,7 @@ def test_recall_with_many_lists(spark, monkeypatch):
     rows = [(i, f32(centres[i % 60] + 0.5 * r.normal(size=16))) for i in range(9000)]
     rows += [(20_000 + i, f32(centres[0] + 0.001 * r.normal(size=16))) for i in range(1500)]  # a hot neighbourhood
     monkeypatch.setattr(ann, "LIST_ROWS", 300)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 5)
     queries = set(range(0, 9000, 300)) | {20_000, 20_700}
     got, want = run(spark, rows, queries), brute(rows, queries)
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in queries)

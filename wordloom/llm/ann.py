@@ -10,8 +10,8 @@ LEAST_RATIO are always allowed): few where vectors lie in clusters, many where t
 query that finds fewer than k other ids there is answered again over all lists.
 
 Equal vectors are one entry with their k + 1 smallest ids, enough for any answer. A list expected to hold over
-LIST_ROWS entries, or to be asked by over LIST_ROWS queries, is dealt to cells; a cell's entries are read
-first, then queries stream by. Scores are computed in double precision on the original vectors. What is
+LIST_ROWS entries, or to be asked by over QUERY_ROWS queries, is dealt to cells; a cell's entries are read
+first, then queries stream by, so more of them go to a cell: each further share of a list's queries copies its entries. Scores are computed in double precision on the original vectors. What is
 broadcast (centroids and graph) is bounded by MOST_LISTS.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part; each number of
@@ -35,7 +35,7 @@ from wordloom.llm.common import map_rows
 from wordloom.session import materialise, table
 
 SAMPLE, SAMPLE_BYTES, LIST_SHARE, MOST_LISTS = 20_000, 128 << 20, 100, 4096
-REPLICAS, CLOSURE, LIST_ROWS = 4, 1.3, 2048
+REPLICAS, CLOSURE, LIST_ROWS, QUERY_ROWS = 4, 1.3, 2048, 32768
 #: The share of the sample's true neighbours that reading must find, of so many queries; the least lists and ratio read.
 FOUND, ASKED, LEAST_PROBES, LEAST_RATIO = 0.97, 256, 64, 1.4
 NEAR, FAR = 12, 4
@@ -213,7 +213,7 @@ def _nearest(rows: DataFrame, queries: DataFrame, dim: int, k: int, everywhere:
     shared = spark.sparkContext.broadcast(index)
     parts = {c: int(-(-s * total // LIST_ROWS)) or 1 for c, s in enumerate(index.share)}
     asked = queries.count()
-    turns = {c: int(-(-(1 if everywhere else s) * asked // LIST_ROWS)) or 1 for c, s in enumerate(index.asked)}
+    turns = {c: int(-(-(1 if everywhere else s) * asked // QUERY_ROWS)) or 1 for c, s in enumerate(index.asked)}
 
     def cells_of(ids: list[int], lists: list[np.ndarray], split: dict, every: dict, queries_: bool) -> list[list[int]]:
         """An entry lies in one part of each list, for all its turns; a query takes one turn, in all parts."""
