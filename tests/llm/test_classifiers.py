@@ -227,3 +227,51 @@ def test_convolution_against_loops_and_its_gradients():
     for name, g in seen.grads.items():
         for at in zip(*np.unravel_index(np.argsort(-np.abs(g), axis=None)[:2], g.shape)):
             assert slope(loss, dense[name], at, 1e-3) == pytest.approx(g[at], rel=0.05, abs=1e-4), name
+
+
+def labelled(n, seed=0):
+    """(bucket, label, text) as toxicity's groups take them, and the frames they come from."""
+    import zlib
+
+    docs, labels = toxic_corpus(n, seed)
+    return docs, labels, [(b, t, x[1]) for x, (i, _, t) in zip(docs, labels) if (b := zlib.crc32(str(i).encode()) % 5)]
+
+
+def test_every_labelled_row_teaches_and_calibrates(spark, monkeypatch):
+    """However small the groups are, each labelled row that isn't held out lies in one of them, once."""
+    docs, labels, sample = labelled(260)
+    d, known = frames(spark, docs + docs[:20] + [(5, "zzz later text", None, None)], labels + labels[:9])
+    met = []
+    monkeypatch.setattr(toxicity.Classifier, "learn", lambda self, groups, **how: met.append((groups.totals(), groups.tally(lambda g: g.spread(True)), groups.stored.count())))
+    toxicity.fit(d, known, 20)
+    whole = toxicity.Group.of(0, sample)
+    (totals, spread, groups), = met
+    assert groups > 4
+    assert totals.tolist() == whole.totals().tolist() and totals.sum() == len(sample)
+    assert spread.tolist() == whole.spread(True).tolist()
+
+
+def test_groups_learn_like_one_and_however_they_lie(spark):
+    docs, labels, sample = labelled(700)
+    d, known = frames(spark, docs, labels)
+    fresh, marks = toxic_corpus(150, 9)
+    texts = [x[1] for x in fresh]
+    here = toxicity.Classifier().fit(sorted(sample, key=lambda s: next(x[0] for x in docs if x[1] == s[2])))
+    one = toxicity.fit(d, known)
+    assert one.score(texts, one.words()) == pytest.approx(here.score(texts, here.words()), abs=1e-3)
+    several, again = toxicity.fit(d, known, 130), toxicity.fit(d.repartition(7), known.repartition(2), 130)
+    assert several.thresholds == again.thresholds
+    got = several.score(texts, several.words())
+    assert np.array_equal(got, again.score(texts, again.words()))
+    assert np.mean([(s >= 0.5) == bool(m[2]) for s, m in zip(got, marks)]) > 0.9
+
+
+def test_thresholds_of_groups_are_those_of_all_rows(spark):
+    docs, labels, sample = labelled(400)
+    model = toxicity.Classifier().fit(sample)
+    from wordloom.llm.common import labelled_rows
+
+    d, known = frames(spark, docs, labels)
+    dealt = toxicity.Dealt(labelled_rows(d, known, "toxic"), 5)
+    for aside in (True, False):
+        assert dealt.thresholds(model, aside) == pytest.approx(toxicity.Here(toxicity.Group.of(0, sample)).thresholds(model, aside), abs=1e-4)

@@ -124,6 +124,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return sorted((int(b), int(y), t) for b, y, t in rows)
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """__id, __label, __bucket and __text of every labelled row to learn from: none of bucket 0, no null labels, ids or
+    texts. Of several labels for an id the largest counts; all texts of an id are there."""
+    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).where("__id is not null and __label in (0, 1)").where(bucket_of("__id") != 0)
+    text = docs.select(F.col("doc_id").alias("__id"), bucket_of().cast("int").alias("__bucket"), F.col("text").cast("string").alias("__text")).where("__text is not null")
+    return kept_by(text, "__id", known.groupBy("__id").agg(F.max("__label").alias("__label")), "inner")
+
+
 _kept: dict = {}
 
 
